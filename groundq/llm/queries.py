@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from groundq.llm import query_licenses, query_near_vectors, query_urls
+from groundq.llm import query_licenses, query_near_vectors, query_nearest, query_urls
 
-MODULES = (query_urls, query_licenses, query_near_vectors)
+MODULES = (query_urls, query_licenses, query_near_vectors, query_nearest)
 
 
 def queries() -> dict:
