@@ -6,13 +6,13 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundq.llm.components import connected_components
 from groundq.llm.shared import written
+from groundq.llm.streams import runs
 from groundq.llm.vectors import usable
 
 #: Rows of a filter that one task compares with each other; larger filters are compared chunk by chunk.
@@ -78,27 +78,13 @@ def _unpacked(column, kind: str) -> np.ndarray:
     return _units(np.stack([np.frombuffer(v, kind) for v in column]))
 
 
-def _linked(a: np.ndarray, b: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(a @ b.T >= at_least)
-
-
-def _common_first(fa: np.ndarray, fb: np.ndarray, this: int) -> np.ndarray:
-    """Whether `this` is the smallest filter that the sorted rows of fa and fb (padded with -1) share."""
-    shared = np.zeros(len(fa), bool)
-    for k in range(fa.shape[1]):
-        mine = fa[:, k]
-        early = (mine >= 0) & (mine < this)
-        if not early.any():
-            break
-        shared[early] |= (fb[early] == mine[early][:, None]).any(axis=1)
-    return ~shared
-
-
-def _padded(lists: list) -> np.ndarray:
-    out = np.full((len(lists), max(map(len, lists), default=0) or 1), -1, "i8")
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
+def _early_meeting(filters: list[np.ndarray], this: int) -> np.ndarray:
+    """(member, member): whether the two share a filter before `this`. Each list is sorted."""
+    early = [f[: np.searchsorted(f, this)] for f in filters]
+    distinct, at = np.unique(np.concatenate(early), return_inverse=True)
+    holds = np.zeros((len(early), len(distinct)), "f4")
+    holds[np.repeat(np.arange(len(early)), [len(e) for e in early]), at] = 1
+    return holds @ holds.T > 0
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -174,34 +160,40 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "rep", "filter", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
     )
-    tasks = met.join(listed, "rep")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        this, lo, hi = int(pdf["filter"].iat[0]), int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
-        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
-        x = _unpacked(pdf["packed"], kind)
-        chunk, weight, filters = pdf["chunk"].to_numpy(), pdf["weight"].to_numpy(), _padded(list(pdf["filters"]))
-        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        links, ends_i, ends_j = np.zeros(len(pdf), "i8"), [], []
-        for a in range(0, len(left), 256):
-            i, j = _linked(x[left[a : a + 256]], x[right], cosine)
-            i, j = left[a : a + 256][i], right[j]
-            if lo == hi:
-                i, j = i[i < j], j[i < j]
-            for b in range(0, len(i), 65536):
-                p, q = i[b : b + 65536], j[b : b + 65536]
-                own = _common_first(filters[p], filters[q], this)
-                p, q = p[own], q[own]
-                np.add.at(links, p, weight[q])
-                np.add.at(links, q, weight[p])
-                ends_i.append(p)
-                ends_j.append(q)
-        i, j = (np.concatenate(e) if e else np.zeros(0, int) for e in (ends_i, ends_j))
-        label, rep = _roots(len(pdf), i, j), pdf["rep"].to_numpy()
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"rep": rep[some], "links": links[some], "root": rep[label[some]]})
-
-    found = written(tasks.groupBy("filter", "lo", "hi").applyInPandas(compare, "rep long, links long, root long"), "vector-links")
+    tasks = met.join(listed, "rep").repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi", "rep")
+
+    def compare(batches):
+        for block, starts in runs(batches, ("filter", "lo", "hi")):
+            x = _unpacked(block.column("packed").to_pylist(), kind)
+            reps, weights, chunks, highs, names = (block.column(c).to_numpy() for c in ("rep", "weight", "chunk", "hi", "filter"))
+            lists, counts = block.column("filters").flatten().to_numpy(), block.column("filters").value_lengths().to_numpy()
+            ends = np.cumsum(counts)
+            out = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                left, right = x[a:b], x[a:b]
+                same = chunks[a:b] == highs[a]
+                if not same.all():  # two chunks: pairs within one of them have a task of their own
+                    left, right = left[~same], right[same]
+                    i, j = np.nonzero(left @ right.T >= cosine)
+                    i, j = np.flatnonzero(~same)[i], np.flatnonzero(same)[j]
+                else:
+                    i, j = np.nonzero(left @ right.T >= cosine)
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                touched, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                i, j = at[: len(i)], at[len(i) :]
+                seen = _early_meeting([lists[ends[a + t] - counts[a + t] : ends[a + t]] for t in touched], names[a])
+                i, j = (i[~seen[i, j]], j[~seen[i, j]])
+                weight, links = weights[a:b][touched], np.zeros(len(touched), "i8")
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                rep, label, some = reps[a:b][touched], _roots(len(touched), i, j), np.flatnonzero(links)
+                out.append((rep[some], links[some], rep[label[some]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
+
+    found = written(tasks.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = groups.select("key", "rep", "weight").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(parts, F.col("rep") == F.col("id"), "left")
     sums = sums.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
