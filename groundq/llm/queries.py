@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from groundq.llm import query_licenses, query_near_vectors, query_nearest, query_urls
+from groundq.llm import query_licenses, query_near_vectors, query_nearest, query_urls, query_warc
 
-MODULES = (query_urls, query_licenses, query_near_vectors, query_nearest)
+MODULES = (query_urls, query_licenses, query_near_vectors, query_nearest, query_warc)
 
 
 def queries() -> dict:
