@@ -10,7 +10,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are joined up to so many bytes.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 19
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -82,8 +82,8 @@ class Words:
         n = len(self.hashes)
         out = np.zeros(max(n - width + 1, 0), "u8")
         for k in range(width):
-            out = out * np.uint64(BASE) + self.hashes[k : n - width + 1 + k]
-        whole = self.doc[: len(out)] == self.doc[width - 1 :] if len(out) else np.zeros(0, bool)
+            out = out * np.uint64(BASE) + self.hashes[k : k + len(out)]
+        whole = self.doc[: len(out)] == self.doc[width - 1 : width - 1 + len(out)] if len(out) else np.zeros(0, bool)
         doc, hashes = self.doc[: len(out)][whole], mixed(out[whole])
         counts = np.diff(self.first)
         few = np.flatnonzero((counts > 0) & (counts < width))
