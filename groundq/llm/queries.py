@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from groundq.llm import query_licenses, query_near_texts, query_near_vectors, query_nearest, query_packing, query_urls, query_warc
+from groundq.llm import query_language, query_licenses, query_near_texts, query_near_vectors, query_nearest, query_packing, query_urls, query_warc
 
-MODULES = (query_urls, query_licenses, query_near_vectors, query_nearest, query_warc, query_packing, query_near_texts)
+MODULES = (query_urls, query_near_texts, query_language, query_warc, query_licenses, query_packing, query_nearest, query_near_vectors)
 
 
 def queries() -> dict:
