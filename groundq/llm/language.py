@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.texts import BASE, blocks, mixed
+from groundq.llm.texts import BASE, blocks
 
 #: Hashed n-grams; collisions share a weight.
 BITS = 18
@@ -18,41 +18,36 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 4000
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature) of every n-gram of every text, and whether the text has a letter.
+def _letters(code: np.ndarray) -> np.ndarray:
+    latin = ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128)
+    symbols = ((code >= 0x2000) & (code <= 0x2BFF)) | ((code >= 0x3000) & (code <= 0x3004))
+    return latin | ((code >= 0xAA) & (code != 0xD7) & (code != 0xF7) & ~symbols)
 
-    A-Z and a-z count alike, runs of what is no letter count as one space each at their first place.
+
+def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each order the features of the texts' n-grams, with where each text's begin and end, and whether each text has a letter.
+
+    A-Z and a-z count alike, a run of what is no letter counts as one space.
     """
     parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "u4") for t in texts]
-    sizes = np.array([len(p) for p in parts], "i8")
     raw = np.concatenate([*parts, np.zeros(0, "u4")])
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
-    letter = ((low >= 97) & (low <= 122)) | ((low >= 0xAA) & (low != 0xD7) & (low != 0xF7) & ~((low >= 0x2000) & (low <= 0x2BFF)) & ~((low >= 0x3000) & (low <= 0x3004)))
-    has = np.bincount(doc[letter], minlength=len(texts)) > 0
+    ends = np.cumsum([0, *map(len, parts)])
+    letter = _letters(raw)
     keep = letter.copy()
-    if len(letter):
-        keep[1:] |= letter[:-1]  # the first place after a letter stands for the gap
-    code, doc = np.where(letter, low, 32)[keep].astype("u8"), doc[keep]
-    out_doc, out_feature = [], []
-    h = np.zeros(len(code), "u8")
+    keep[1:] |= letter[:-1]  # the first place after a letter stands for the gap
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    has = np.diff(np.concatenate([[0], np.cumsum(letter)])[ends]) > 0
+    code = np.where(letter, np.where((raw >= 65) & (raw <= 90), raw + 32, raw), 32)[keep].astype("u8")
+    bounds = kept[ends]
+    out, h = [], np.zeros(len(code), "u8")
     for n in range(1, max(ORDERS) + 1):
-        m = len(code) - n + 1
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(BASE) + code[n - 1 :] + np.uint64(1)
+        h = h[: max(len(code) - n + 1, 0)] * np.uint64(BASE) + code[n - 1 :] + np.uint64(1)
         if n in ORDERS:
-            whole = doc[:m] == doc[n - 1 :]
-            out_doc.append(doc[:m][whole])
-            out_feature.append((mixed(h[whole] + np.uint64(n)) >> np.uint64(64 - BITS)).astype("i4"))
-    empty = np.zeros(0, "i8")
-    return np.concatenate([*out_doc, empty]), np.concatenate([*out_feature, empty.astype("i4")]), has
-
-
-def counted(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count), sorted."""
-    both, n = np.unique(doc.astype("i8") << BITS | feature, return_counts=True)
-    return both >> BITS, (both & ((1 << BITS) - 1)).astype("i4"), n
+            feature = (((h + np.uint64(n)) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - BITS)).astype("i4")
+            # n-grams that reach into the next text are left out by the ends
+            ends_n = np.stack([bounds[:-1], np.maximum(bounds[1:] - n + 1, bounds[:-1])], axis=1)
+            out.append((feature, np.minimum(ends_n, len(feature))))
+    return out, has
 
 
 @dataclass
@@ -65,12 +60,20 @@ class Model:
     bias: np.ndarray
     temperature: float
 
+    def __post_init__(self):
+        self.table = np.ascontiguousarray((self.weights * self.idf[:, None]).T)
+
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, class) logits and whether each text has a letter. A text is its n-grams' mean, each times its idf."""
-        doc, feature, has = grams(texts)
-        table = self.weights * self.idf[:, None]
-        total = np.stack([np.bincount(doc, table[feature, c], len(texts)) for c in range(len(self.classes))], axis=1)
-        return total / np.maximum(np.bincount(doc, minlength=len(texts)), 1)[:, None] + self.bias, has
+        found, has = grams(texts)
+        total, count = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts), "i8")
+        for feature, ends in found:
+            sums = np.zeros(len(feature) + 1)
+            for c, weights in enumerate(self.table):
+                np.cumsum(weights[feature], out=sums[1:])
+                total[:, c] += sums[ends[:, 1]] - sums[ends[:, 0]]
+            count += ends[:, 1] - ends[:, 0]
+        return total / np.maximum(count, 1)[:, None] + self.bias, has
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -80,11 +83,11 @@ class Model:
 
 def _rows(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, values) of each text: term frequency times idf."""
-    doc, feature, _ = grams(texts)
-    doc, feature, n = counted(doc, feature)
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-    total = np.maximum(np.bincount(doc, n, len(texts)), 1)
-    return [(feature[a:b], n[a:b] / total[i] * idf[feature[a:b]]) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    out = []
+    for text in texts:
+        feature, n = np.unique(np.concatenate([f[a:b] for f, ((a, b),) in grams([text])[0]]), return_counts=True)
+        out.append((feature, n / max(n.sum(), 1) * idf[feature]))
+    return out
 
 
 def fit(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 3, seed: int = 3) -> Model:
@@ -131,16 +134,17 @@ def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: s
     """A model of the labelled rows' languages; None without any. Document frequencies are counted over all of texts."""
 
     def frequencies(batches):
-        df, n = np.zeros(1 << BITS, "i8"), 0
+        df, seen, n = np.zeros(1 << BITS, "i8"), np.zeros(1 << BITS, bool), 0
         for batch in batches:
             content = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in blocks(content):
-                doc, feature, _ = grams(content[lo:hi])
-                order = np.argsort(feature, kind="stable")
-                f, d = feature[order], doc[order]
-                new = np.ones(len(f), bool)
-                new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-                df += np.bincount(f[new], minlength=1 << BITS)
+                found, _ = grams(content[lo:hi])
+                for i in range(hi - lo):
+                    for feature, ends in found:
+                        seen[feature[ends[i, 0] : ends[i, 1]]] = True
+                    some = np.flatnonzero(seen)
+                    df[some] += 1
+                    seen[some] = False
                 n += hi - lo
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["feature", "df"])
