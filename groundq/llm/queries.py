@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from groundq.llm import query_language, query_licenses, query_near_texts, query_near_vectors, query_nearest, query_packing, query_toxicity, query_urls, query_warc
+from groundq.llm import query_language, query_licenses, query_mixing, query_near_texts, query_near_vectors, query_nearest, query_packing, query_toxicity, query_urls, query_warc
 
-MODULES = (query_urls, query_near_texts, query_language, query_warc, query_toxicity, query_licenses, query_packing, query_nearest, query_near_vectors)
+MODULES = (query_urls, query_near_texts, query_mixing, query_language, query_warc, query_toxicity, query_licenses, query_packing, query_nearest, query_near_vectors)
 
 
 def queries() -> dict:
