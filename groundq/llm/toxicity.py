@@ -13,7 +13,7 @@ from groundq.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
 from groundq.llm.texts import Words, blocks, word_hash
 
 #: The classifier is fitted on at most so many labelled texts: those of the smallest hashes of id.
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 8000
 #: Insults to start from; the labelled texts add words and word beginnings.
 INSULTS = "idiot idiots stupid moron morons trash scum loser losers clown worthless pathetic disgusting dumb fool ugly garbage filth".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tus vos".split()
@@ -49,9 +49,8 @@ class Lexicon:
     starts: tuple[np.ndarray, np.ndarray]
 
 
-def _presence(texts: list[str], of) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each distinct hash of each text."""
-    docs, hashes = [np.zeros(0, "i8")], [np.zeros(0, "u8")]
+def _distinct(texts: list[str], of):
+    """Blocks of (text, hash), each distinct pair once. of: a block's words to lists of hashes."""
     for lo, hi in blocks(texts):
         w = Words(texts[lo:hi])
         for h in of(w):
@@ -59,23 +58,35 @@ def _presence(texts: list[str], of) -> tuple[np.ndarray, np.ndarray]:
             d, h = w.doc[order], h[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            docs.append(d[new] + lo)
-            hashes.append(h[new])
-    return np.concatenate(docs), np.concatenate(hashes)
+            yield d[new] + lo, h[new]
 
 
-def _log_odds(doc: np.ndarray, hashes: np.ndarray, y: np.ndarray, least: float = 1.6, support: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(hashes, return_inverse=True)
-    toxic = np.bincount(at, y[doc], len(keys))
-    clean = np.bincount(at, minlength=len(keys)) - toxic
+def _log_odds(texts: list[str], y: np.ndarray, of, least: float = 1.6, support: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that speak for toxic texts, and their log odds.
+
+    Two passes: counts by a part of the hash say which hashes can have the support, and only those are counted one by one.
+    """
+    shift = np.uint64(64 - 20)
+    rough = np.zeros(1 << 20, "i4")
+    for _, h in _distinct([t if v else "" for t, v in zip(texts, y, strict=True)], of):
+        rough += np.bincount((h >> shift).astype("i4"), minlength=len(rough)).astype("i4")
+    hashes = [np.zeros(0, "u8")]
+    for _, h in _distinct([t if v else "" for t, v in zip(texts, y, strict=True)], of):
+        hashes.append(h[rough[(h >> shift).astype("i4")] >= support])
+    keys, toxic = np.unique(np.concatenate(hashes), return_counts=True)
+    keys, toxic = keys[toxic >= support], toxic[toxic >= support]
+    clean = np.zeros(len(keys), "i8")
+    for _, h in _distinct([t if not v else "" for t, v in zip(texts, y, strict=True)], of) if len(keys) else ():
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        clean += np.bincount(at[keys[at] == h], minlength=len(keys))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / (len(y) - y.sum() + 1))
-    good = (odds >= least) & (toxic >= support) & (toxic * np.maximum(odds, 0) >= 8)
+    good = (odds >= least) & (toxic * np.maximum(odds, 0) >= 8)
     return keys[good], odds[good]
 
 
 def learn_lexicon(texts: list[str], y: np.ndarray) -> Lexicon:
-    words = _log_odds(*_presence(texts, lambda w: [w.hashes]), y)
-    starts = _log_odds(*_presence(texts, lambda w: [w.prefix_hashes(n) for n in PREFIXES]), y)
+    words = _log_odds(texts, y, lambda w: [w.hashes])
+    starts = _log_odds(texts, y, lambda w: [w.prefix_hashes(n) for n in PREFIXES])
     return Lexicon(words, starts)
 
 
