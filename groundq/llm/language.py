@@ -156,10 +156,12 @@ def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: s
     counts[feature[feature >= 0]] = df[feature >= 0]
     idf = np.log((1 + n) / (1 + counts)) + 1
 
-    some = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(label).alias("label")
-    )
-    rows = some.orderBy(F.xxhash64("id"), "id", "text", "label").limit(TRAIN_ROWS).collect()
+    known = labelled.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull())
+    # the bound holds before the texts are looked up: only the chosen ids' texts move
+    chosen = known.select(F.col(id).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
+    rows = known.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")).join(F.broadcast(chosen), "id").collect()
+    once = {r.id: r for r in sorted(rows, key=lambda r: (r.id, r.text, r.label), reverse=True)}
+    rows = [once[i] for i in sorted(once)]
     return fit([r.text for r in rows], [r.label for r in rows], idf) if rows else None
 
 
