@@ -7,6 +7,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+#: Rows of the mean that a calibrated value counts beside its own: a few rows alone prove little.
+PRIOR = 4.0
+
+
 @dataclass
 class Trees:
     """edges: bin borders of each feature; each tree is arrays of (feature, bin, left, right, value) by node."""
@@ -31,9 +35,10 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 8, ridge: float = 2.0) -> Trees:
-    """Second-order boosting of the logistic loss; splits on quantile bins."""
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
+def fit_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 64, ridge: float = 2.0) -> Trees:
+    """Second-order boosting of the logistic loss; splits on quantile bins. A leaf has a hundredth of the rows, from 2 to 8, at least."""
+    least = int(np.clip(len(y) // 100, 2, 8))
+    edges = [np.unique(np.append(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]), 0.0)) if len(x) else np.zeros(0) for f in range(x.shape[1])]
     base = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
     model = Trees(edges, float(np.log(base / (1 - base))))
     if len(np.unique(y)) < 2:
@@ -74,7 +79,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3,
 
 
 def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: ascending scores and the probabilities there."""
+    """Pool-adjacent-violators: ascending scores and the probabilities there, each drawn to the mean as by PRIOR more rows of it."""
+    base = float(y.mean()) if len(y) else 0.0
     order = np.argsort(score, kind="stable")
     means, sizes, firsts, lasts = [], [], [], []
     for s, v in zip(score[order], y[order], strict=True):
@@ -89,10 +95,11 @@ def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
             for column in (means, sizes, firsts, lasts):
                 column.pop()
     at, value = [], []
-    for m, a, z in zip(means, firsts, lasts, strict=True):
+    for m, n, a, z in zip(means, sizes, firsts, lasts, strict=True):
+        m = (m * n + base * PRIOR) / (n + PRIOR)
         at += [a, z] if z > a else [a]
         value += [m, m] if z > a else [m]
-    return np.array(at), np.array(value)
+    return np.array(at), np.maximum.accumulate(np.array(value)) if value else np.array(value)
 
 
 def calibrated(score: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:

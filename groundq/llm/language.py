@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundq.llm.texts import BASE, blocks
 
@@ -196,7 +197,6 @@ def identify(docs: DataFrame, model: Model | None, *, keys: list[str], text: str
             columns = [batch.column(c) for c in kept.values()]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], [*kept.values(), "lang_pred", "score"])
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"{i} {types[k]}" for k, i in kept.items()) + ", lang_pred string, score double"
+    schema = T.StructType([T.StructField(i, docs.schema[k].dataType) for k, i in kept.items()]).add("lang_pred", "string").add("score", "double")
     rows = docs.select(*(F.col(k).alias(i) for k, i in kept.items()), F.col(text).alias("text")).mapInArrow(predict, schema)
     return rows.select(*(F.col(i).alias(k) for k, i in kept.items()), "lang_pred", "score")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundq.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
 from groundq.llm.texts import Words, blocks, word_hash
@@ -20,6 +21,8 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu
 #: Words that lie so near to a second-person word count as aimed at someone.
 NEAR = 5
 PREFIXES = (3, 4, 5, 6)
+#: A learned word's likelihood ratio must be so large, which chance reaches for one word in millions.
+GAIN = 28.0
 FEATURES = (
     "log words", "insults a word", "insults", "learned words a word", "learned words", "learned beginnings a word", "learned beginnings", "strongest", "sum of log odds a word",
     "aimed share", "second person a word", "capitals", "words in capitals", "exclamations", "questions", "other punctuation", "digits", "mixed words", "masked letters", "bytes a word",
@@ -80,7 +83,10 @@ def _log_odds(texts: list[str], y: np.ndarray, of, least: float = 1.6, support:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         clean += np.bincount(at[keys[at] == h], minlength=len(keys))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / (len(y) - y.sum() + 1))
-    good = (odds >= least) & (toxic * np.maximum(odds, 0) >= 8)
+    expected = (toxic + clean) * (y.sum() / max(len(y), 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (toxic * np.log(toxic / expected) + np.where(clean > 0, clean * np.log(clean / (toxic + clean - expected)), 0))
+    good = (odds >= least) & (g >= GAIN)
     return keys[good], odds[good]
 
 
@@ -184,7 +190,6 @@ def score_texts(docs: DataFrame, model: Model, *, keys: list[str], text: str) ->
             scores = pa.array(shared.value.scores([t or "" for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.values()), scores], [*kept.values(), "score"])
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"{i} {types[k]}" for k, i in kept.items()) + ", score double"
+    schema = T.StructType([T.StructField(i, docs.schema[k].dataType) for k, i in kept.items()]).add("score", "double")
     rows = docs.select(*(F.col(k).alias(i) for k, i in kept.items()), F.col(text).alias("text")).mapInArrow(predict, schema)
     return rows.select(*(F.col(i).alias(k) for k, i in kept.items()), "score")
