@@ -43,4 +43,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     members = table.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return members.union(table.select("b", "b").distinct())
+    out = members.union(table.select("b", "b").distinct())
+    out._groundq_path = table._groundq_path  # so that `dropped` can take its table away
+    return out

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.shared import written
+from groundq.llm.shared import dropped, written
 
 #: Levels of each feature: logarithmic, the last one open.
 LEVELS = 10
@@ -133,6 +133,7 @@ def fit_mixture(features: DataFrame, labelled: DataFrame, targets: dict[str, flo
         mixture.steps.append(off)
         now = totals()
     mixture.totals = now
+    dropped(grouped)
     return mixture
 
 
@@ -164,6 +165,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id
     """The rows of docs, all columns, each as often as its copies say (a rate below 1 leaves some out, one above 1 repeats some)."""
     features = written(_features(docs, text, F.col(id).alias("id")).select("id", F.col("_tokens").alias("tokens"), F.col("_bins").alias("bins")), "mix-features")
     mixture = fit_mixture(features, labelled, targets, **how)
+    dropped(features)
     n = len(mixture.tables[0])
     out = _features(docs, text, F.struct("*").alias("_row"), F.col(id).alias("_id"), F.col(text))
     out = out.withColumn("_p", mixture.posterior([F.get("_bins", F.lit(i)) for i in range(n)])).withColumn("_p", _normal("_p"))

@@ -175,12 +175,13 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
 
     times, level = runs_for(recall, jaccard), "rep long, path long, above long"
     at = sets.select("rep", "sketch").mapInArrow(first_paths, level)
-    ready = []
+    ready, buckets = [], []
     for depth in range(1, DEPTH + 1):
         at = written(at.distinct(), "paths")
         sizes = at.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = written(at.join(sizes, "path"), "buckets")
         dropped(at)
+        buckets.append(met)
         done = (F.col("n") <= SMALL) | ((F.col("above") > 0) & (F.col("n") * 2 > F.col("above"))) | F.lit(depth == DEPTH)
         ready.append(met.where(done).select("path", "rep"))
         going = met.where(~done)
@@ -216,6 +217,7 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
     candidates = written(tasks.mapInArrow(alike, STARS), "alike")
     groups = connected_components(candidates.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     members = written(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(sets.select("rep", "least_id", "key", "weight"), "rep"), "candidate-groups")
+    dropped(candidates, groups, *buckets)
 
     def whole(batches):
         for batch in batches:
@@ -261,6 +263,7 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
                 yield out
 
     links = written(tasks.mapInArrow(exact, STARS), "set-links")
+    dropped(found, members)
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     # components so far are named by hashes of sets; their smallest id names them from here on
     parts = parts.select(F.col("id").alias("rep"), "component").join(sets.select("rep", "least_id"), "rep")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundq.llm.components import connected_components
-from groundq.llm.shared import written
+from groundq.llm.shared import dropped, written
 from groundq.llm.streams import runs
 from groundq.llm.vectors import usable
 
@@ -194,6 +194,7 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
 
     found = written(tasks.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
+    dropped(listed)
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = groups.select("key", "rep", "weight").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(parts, F.col("rep") == F.col("id"), "left")
     sums = sums.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
