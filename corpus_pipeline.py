@@ -13,7 +13,7 @@ from groundq.llm.near_texts import keep_one
 from groundq.llm.packing import pack_documents
 from groundq.llm.query_mixing import labelled_domains
 from groundq.llm.query_packing import VOCABULARY, digests
-from groundq.llm.shared import written
+from groundq.llm.shared import dropped, written
 from groundq.llm.toxicity import score_texts
 from groundq.llm.toxicity import train as train_toxicity
 
@@ -72,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each result written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
