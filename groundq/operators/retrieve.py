@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundq.config import RETRIEVAL_K, RETRIEVAL_MOST, SELECTION_K, SNIPPET_CHARS
+from groundq.shipping import ship
 
 #: Chunks and questions that one task multiplies.
 SHARD_ROWS, BLOCK_ROWS = 16384, 1024
@@ -20,6 +21,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, id: str, vector: str, k
     Chunks are dealt into shards and questions into blocks of bounded size; shard meets block in one matrix product that returns its k best
     rows a question. Neither side is broadcast or gathered whole. Ties go to the smaller id.
     """
+    ship(chunks.sparkSession)
     k = max(1, min(k, RETRIEVAL_MOST))
     left = chunks.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     right = questions.where(F.col(vector).isNotNull()).select(F.col("qid").alias("q"), F.col(vector).cast("array<double>").alias("qv"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundq.functions.text import canonical_markdown
+from groundq.shipping import ship
 
 
 def number_islands(rows: DataFrame, key: str | list[str], order: list[str], value: str) -> DataFrame:
@@ -144,6 +145,7 @@ def html_segments(pages: DataFrame, *, id: str, html: str, container: str = "div
                 rows += [(key, *r, n) for n, r in enumerate(parser.found)]
             yield pd.DataFrame(rows, columns=["_id", "chapter", "chapter_title", "part", "section_title", "text", "n"])
 
+    ship(pages.sparkSession)
     kind = dict(pages.dtypes)[id]
     schema = f"_id {kind}, chapter int, chapter_title string, part int, section_title string, text string, n int"
     found = pages.select(F.col(id).alias("_id"), F.col(html).alias("_html")).mapInPandas(parse, schema)
