@@ -49,8 +49,10 @@ def quote_match(quotes: DataFrame, selected: DataFrame, texts: DataFrame) -> Dat
     """
     files = last_wins(selected.where("chapter IS NOT NULL AND section IS NOT NULL AND length(filename) > 0"), ["qid", "chapter", "section"], "rank", ["filename"])
     some = quotes.withColumn("_q", clean_quote(F.col("quote"))).where("_q <> '' AND chapter IS NOT NULL AND section IS NOT NULL")
-    met = some.join(files, ["qid", "chapter", "section"], "left").join(texts.select("filename", F.col("text").alias("_t")), "filename", "left")
-    ok = F.col("_t").isNotNull() & for_match(F.col("_t")).contains(for_match(F.col("_q")))
+    # each text is normalised once, before it meets its quotes
+    normal = texts.where("text IS NOT NULL").select("filename", for_match(F.col("text")).alias("_t"))
+    met = some.join(files, ["qid", "chapter", "section"], "left").join(normal, "filename", "left")
+    ok = F.col("_t").isNotNull() & F.col("_t").contains(for_match(F.col("_q")))
     each = met.groupBy("qid").agg(F.count("_t").alias("quote_match_checked"), F.count_if(ok).alias("quote_match_count"), F.count_if(F.col("_t").isNull()).alias("quote_match_missing_source"))
     checked = F.nullif(F.col("quote_match_checked"), F.lit(0))
     return each.withColumn("quote_match_rate", F.col("quote_match_count") / checked).withColumn("quote_match_all", F.col("quote_match_count") == checked)

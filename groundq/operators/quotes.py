@@ -20,6 +20,10 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
+def first_sentence(text: Column) -> Column:
+    return strip(F.regexp_extract(text, r"(?s)^\s*(.*?[.!?](?=\s)|.*)", 1))
+
+
 def usable(passages: DataFrame) -> DataFrame:
     """Passages that can be quoted: with a file name and with text."""
     return passages.where((F.length("filename") > 0) & (strip(F.col("passage")) != ""))
@@ -97,11 +101,12 @@ def verbatim_search(texts: DataFrame, items: DataFrame, *, id: str, text: str, i
     five words of the texts; what meets is confirmed by containment. Items too short for that are compared with each text.
     """
     split = lambda c: F.split(c, " ")
+    run = lambda at: F.xxhash64(*(F.get("_w", at + k) for k in range(width)))
     wanted = items.select(F.col(item).alias("_item"), for_match(F.col(item_text)).alias("_want")).where("_want <> ''").withColumn("_w", split(F.col("_want")))
-    long = wanted.where(F.size("_w") >= width + 2).select("_item", "_want", F.xxhash64(F.array_join(F.slice("_w", 2, width), " ")).alias("_key"))
+    long = wanted.where(F.size("_w") >= width + 2).select("_item", "_want", run(F.lit(1)).alias("_key"))
     held = texts.select(F.col(id).alias("_id"), for_match(F.col(text)).alias("_text"))
     runs = held.withColumn("_w", split(F.col("_text"))).where(F.size("_w") >= width)
-    keys = F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, width), " ")))
+    keys = F.transform(F.sequence(F.lit(0), F.size("_w") - width), run)
     met = runs.select("_id", "_text", F.explode(F.array_distinct(keys)).alias("_key")).join(long, "_key").where(F.col("_text").contains(F.col("_want")))
     short = wanted.where(F.size("_w") < width + 2)
     rest = held.join(short, F.col("_text").contains(F.col("_want"))).select("_id", "_item")

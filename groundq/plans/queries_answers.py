@@ -8,7 +8,7 @@ from groundq.config import REFUSAL_TEXT
 from groundq.functions.numbers import number
 from groundq.operators import metrics, quotes
 from groundq.operators.retrieve import snippet
-from groundq.plans.views import POOL, QUOTATIONS, SECTIONS, folded, matched, pool, quotations, sections, table, topk
+from groundq.plans.views import POOL, QUOTATIONS, SECTIONS, folded, matched, pool, quotations, sections, table, texts, topk
 
 QUERIES, SQL = {}, {}
 
@@ -28,8 +28,8 @@ def answer(spark, d):
     """Every hundredth embedding asks with its document's first sentence; passages are the documents of the pool's chunks."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage"), "source")
     found = pool(spark, d).join(docs, "vec_id").withColumn("filename", F.concat(F.lit("corpus_book01_x_ch_01_"), "source", F.lit("_s01_"), F.col("vec_id").cast("string"), F.lit(".txt")))
-    asked = docs.select(F.col("vec_id").alias("qid"), F.get(quotes.sentences(F.col("passage")), F.lit(0)).alias("question"))
-    selected = found.where("selected_by_rank = 'Y'").join(asked, "qid")
+    asked = docs.select(F.col("vec_id").alias("qid"), F.col("passage").alias("asking"))
+    selected = found.where("selected_by_rank = 'Y'").join(asked, "qid").withColumn("question", quotes.first_sentence(F.col("asking"))).drop("asking")
     chosen = quotes.extract_by_overlap(selected)
     verified = quotes.verify(chosen, selected)
     return quotes.formatted(topk(spark, d).select("qid").distinct(), verified)
@@ -110,7 +110,7 @@ def refusal_detect(spark, d):
 
 @query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {matched('text')} AS t FROM documents) JOIN (SELECT item_id, {matched('text')} AS w FROM benchmark) ON w <> '' AND contains(t, w)")
 def verbatim_search(spark, d):
-    return quotes.verbatim_search(table(spark, d, "documents"), table(spark, d, "benchmark"), id="doc_id", text="text", item="item_id", item_text="text")
+    return quotes.verbatim_search(texts(spark, d), table(spark, d, "benchmark"), id="doc_id", text="text", item="item_id", item_text="text")
 
 
 #: Tests are sources; a document's quotations refer to its chapter and section, whose last document is the file.

@@ -21,13 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of whole texts, dealt over all cores if it is so small that its scan would leave some idle."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores) if _small(rows) else rows
+
+
+def _small(rows: DataFrame, most: int = 1 << 28) -> bool:
+    """By Catalyst's estimate: beyond it a scan has more splits than a repartition of its own is worth."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < most
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapter = F.expr("CAST((doc_id div 20) % 99 + 1 AS INT)")
     section = F.expr("CAST(doc_id % 20 + 1 AS INT)")
     name = F.concat(
         F.lit("corpus_book01_x_ch_"), F.format_string("%02d", chapter), F.lit("_"), "source", F.lit("_s"), F.format_string("%02d", section), F.lit("_"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")
     )
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("file_id"), chapter.alias("chapter"), section.alias("section"), name.alias("filename"))
+    return texts(spark, sf_dir).select("doc_id", "text", "lang", "source", F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("file_id"), chapter.alias("chapter"), section.alias("section"), name.alias("filename"))
 
 
 SECTIONS = """sections AS (
@@ -71,11 +83,11 @@ pool AS (
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid (the document), ord, quote, filename."""
-    parts = F.split("text", r"\.")
+    parts = F.col("parts")
     quotes = F.array(
         F.get(parts, F.lit(0)), F.reverse(F.get(parts, F.lit(0))), F.translate(F.get(parts, F.size(parts) - 2), SMALL, CAPITAL), F.lit(" "), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3))
     )
-    each = sections(spark, sf_dir).select(F.col("doc_id").alias("qid"), "filename", "chapter", "section", F.posexplode(quotes).alias("at", "quote"))
+    each = sections(spark, sf_dir).withColumn("parts", F.split("text", r"\.")).select(F.col("doc_id").alias("qid"), "filename", "chapter", "section", F.posexplode(quotes).alias("at", "quote"))
     return each.select("qid", (F.col("at") + 1).alias("ord"), "quote", "filename", "chapter", "section").where("quote IS NOT NULL")
 
 
