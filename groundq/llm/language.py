@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundq.llm.texts import BASE, blocks
+from groundq.llm.texts import BASE, text_blocks
 
 #: Hashed n-grams; collisions share a weight.
 BITS = 18
@@ -137,9 +137,8 @@ def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: s
     def frequencies(batches):
         df, seen, n = np.zeros(1 << BITS, "i8"), np.zeros(1 << BITS, bool), 0
         for batch in batches:
-            content = [t or "" for t in batch.column("text").to_pylist()]
-            for lo, hi in blocks(content):
-                found, _ = grams(content[lo:hi])
+            for lo, hi, content in text_blocks(batch.column("text")):
+                found, _ = grams(content)
                 for i in range(hi - lo):
                     for feature, ends in found:
                         seen[feature[ends[i, 0] : ends[i, 1]]] = True
@@ -182,14 +181,13 @@ def identify(docs: DataFrame, model: Model | None, *, keys: list[str], text: str
     def predict(batches):
         model = shared.value
         for batch in batches:
-            content = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = [], []
-            for lo, hi in blocks(content):
+            for lo, hi, content in text_blocks(batch.column("text")):
                 if model is None:
                     names += ["und"] * (hi - lo)
                     scores.append(np.zeros(hi - lo))
                     continue
-                logits, has = model.scores(content[lo:hi])
+                logits, has = model.scores(content)
                 p = model.probabilities(logits)
                 best = p.argmax(axis=1)
                 names += [model.classes[b] if h else "und" for b, h in zip(best, has, strict=True)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from groundq.llm.components import connected_components
 from groundq.llm.shared import dropped, written
 from groundq.llm.streams import runs
-from groundq.llm.texts import BASE, Words, blocks, mixed
+from groundq.llm.texts import BASE, Words, mixed, text_blocks
 
 #: MinHash tokens of a set; the paths choose among them.
 TOKENS = 64
@@ -136,9 +136,8 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
 
     def sketched(batches):
         for batch in batches:
-            content = batch.column("text").to_pylist()
-            for lo, hi in blocks(content):
-                doc, hashes = Words(content[lo:hi]).shingles(width)
+            for lo, _, content in text_blocks(batch.column("text")):
+                doc, hashes = Words(content).shingles(width)
                 has, doc = np.unique(doc, return_inverse=True)
                 if not len(has):
                     continue
@@ -221,9 +220,8 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
 
     def whole(batches):
         for batch in batches:
-            content = batch.column("text").to_pylist()
-            for lo, hi in blocks(content):
-                doc, hashes = Words(content[lo:hi]).shingles(width)
+            for lo, hi, content in text_blocks(batch.column("text")):
+                doc, hashes = Words(content).shingles(width)
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1))
                 packed = [np.unique(hashes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in packed]

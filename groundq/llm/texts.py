@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed odd multiplier of the polynomial hashes, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -101,6 +103,17 @@ class Words:
         return doc, hashes
 
 
+def text_blocks(column: pa.Array):
+    """(first, end, texts) of runs of an Arrow column, about BLOCK_BYTES each or one long text; null as empty. Only a run is unpacked."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    start = 0
+    while start < len(column):
+        before = sizes[start - 1] if start else 0
+        end = min(max(int(np.searchsorted(sizes, before + BLOCK_BYTES)) + 1, start + 1), len(column))
+        yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
+        start = end
+
+
 def blocks(texts: list[str | None]):
     """(first, end) of runs of texts that together have about BLOCK_BYTES bytes, or are one long text."""
     start, size = 0, 0

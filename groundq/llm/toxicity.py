@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundq.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
-from groundq.llm.texts import Words, blocks, word_hash
+from groundq.llm.texts import Words, blocks, text_blocks, word_hash
 
 #: The classifier is fitted on at most so many labelled texts: those of the smallest hashes of id.
 TRAIN_ROWS = 8000
@@ -187,8 +187,9 @@ def score_texts(docs: DataFrame, model: Model, *, keys: list[str], text: str) ->
 
     def predict(batches):
         for batch in batches:
-            scores = pa.array(shared.value.scores([t or "" for t in batch.column("text").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.values()), scores], [*kept.values(), "score"])
+            scores = [shared.value.scores(content) for _, _, content in text_blocks(batch.column("text"))]
+            columns = [*(batch.column(c) for c in kept.values()), pa.array(np.concatenate([*scores, np.zeros(0)]))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept.values(), "score"])
 
     schema = T.StructType([T.StructField(i, docs.schema[k].dataType) for k, i in kept.items()]).add("score", "double")
     rows = docs.select(*(F.col(k).alias(i) for k, i in kept.items()), F.col(text).alias("text")).mapInArrow(predict, schema)
