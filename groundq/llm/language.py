@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundq.llm.texts import BASE, text_blocks
+from groundq.shipping import ship
 
 #: Hashed n-grams; collisions share a weight.
 BITS = 18
@@ -134,6 +135,8 @@ def fit(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float =
 def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: str) -> Model | None:
     """A model of the labelled rows' languages; None without any. Document frequencies are counted over all of texts."""
 
+    ship(texts.sparkSession)
+
     def frequencies(batches):
         df, seen, n = np.zeros(1 << BITS, "i8"), np.zeros(1 << BITS, bool), 0
         for batch in batches:
@@ -175,6 +178,7 @@ def identify(docs: DataFrame, model: Model | None, *, keys: list[str], text: str
     A null text, one without a letter, and any text where nothing was learned, is "und" with the score 0. Rows that repeat come back as
     often. Other columns are dropped, so clashing names do no harm. An empty table gives an empty result. Result: keys, lang_pred, score.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^BITS weights a class
     kept = {k: f"key_{i}" for i, k in enumerate(keys)}
 

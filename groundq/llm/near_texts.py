@@ -14,6 +14,7 @@ from groundq.llm.components import connected_components
 from groundq.llm.shared import dropped, written
 from groundq.llm.streams import runs
 from groundq.llm.texts import BASE, Words, mixed, text_blocks
+from groundq.shipping import ship
 
 #: MinHash tokens of a set; the paths choose among them.
 TOKENS = 64
@@ -131,6 +132,7 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
     table gives an empty result. Result: id, n_links (other texts linked, copies included), component_id (the smallest id that links lead
     to), kept (the id is its component's).
     """
+    ship(docs.sparkSession)
     given = docs.select(F.col(id).cast("long").alias("id"))
     texts = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 

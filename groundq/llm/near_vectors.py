@@ -14,6 +14,7 @@ from groundq.llm.components import connected_components
 from groundq.llm.shared import dropped, written
 from groundq.llm.streams import runs
 from groundq.llm.vectors import usable
+from groundq.shipping import ship
 
 #: Rows of a filter that one task compares with each other; larger filters are compared chunk by chunk.
 CHUNK = 1024
@@ -114,6 +115,7 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
     vector count as one vector of that id, and each comes back. Rows with one id and different vectors share the sums of their links.
     Other columns are dropped, so clashing names do no harm. Result: id, n_links, component_id, kept (the id is its component's).
     """
+    ship(rows.sparkSession)
     first = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.size(vector)).first()
     given = rows.select(F.col(id).cast("long").alias("id"))
     if first is None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from groundq.llm.shared import written
 from groundq.llm.vectors import usable
+from groundq.shipping import ship
 
 
 class KDTree:
@@ -100,6 +101,7 @@ def top_k_inner_product(rows: DataFrame, *, id: str, vector: str, queries: str,
     could not be told apart. Ties go to the smaller id. Fewer rows than k give all. A score beyond 64 bits is refused. Other columns are
     dropped, so clashing names do no harm. An empty table gives an empty result. Result: query_id, rank (from 1), the id column, score.
     """
+    ship(rows.sparkSession)
     def quantised(batches):
         for batch in batches:
             at, x = usable(batch.column("v"))

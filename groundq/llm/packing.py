@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundq.shipping import ship
+
 #: The pattern that splits text before the merges of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of about so many tokens are planned at once in a task.
@@ -133,6 +135,7 @@ def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, wind
     empty table gives an empty result. Memory is bounded by a pool and one document. Result: id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.
     """
+    ship(docs.sparkSession)
     key_type = dict(docs.dtypes)[id]
     names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from groundq.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
 from groundq.llm.texts import Words, blocks, text_blocks, word_hash
+from groundq.shipping import ship
 
 #: The classifier is fitted on at most so many labelled texts: those of the smallest hashes of id.
 TRAIN_ROWS = 8000
@@ -182,6 +183,7 @@ def score_texts(docs: DataFrame, model: Model, *, keys: list[str], text: str) ->
     Rows that repeat come back as often. Other columns are dropped, so clashing names do no harm. An empty table gives an empty result.
     Result: keys, score.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
     kept = {k: f"key_{i}" for i, k in enumerate(keys)}
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundq.llm.shared import shared_dir, written
+from groundq.shipping import ship
 
 # Fixed values of the seekable format: a skippable frame of (compressed, decompressed) sizes and a footer, all little-endian.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -133,6 +134,7 @@ def write_bundles(rows: DataFrame, *, key: str, url: str, payload: Column, least
     columns are dropped, so clashing names do no harm. Index: key, record_id, bundle, frame, at (offset in the decompressed frame), length.
     """
     spark = rows.sparkSession
+    ship(rows.sparkSession)
     base = path or shared_dir(spark, "warc")
     body = F.coalesce(payload.cast("binary"), F.lit(b""))
     each = rows.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("body"))
@@ -184,6 +186,7 @@ def read_records(index: DataFrame, *, key: str) -> DataFrame:
     Result: key, record_id, warc_type, target_uri, payload_digest (bare, as the header has it), payload_length (as the HTTP header has
     it), payload (empty for a revisit), refers_to (a record identifier), refers_to_key.
     """
+    ship(index.sparkSession)
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "length", "record_id", F.col(key).alias("key")))).alias("records"))
     key_type = dict(index.dtypes)[key]
     columns = ["key", "record_id", "warc_type", "target_uri", "payload_digest", "payload_length", "payload", "refers_to", "refers_to_key"]
