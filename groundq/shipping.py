@@ -16,7 +16,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(root):  # within an archive there is nothing to pack: the executors have that archive
-        archive = os.path.join(tempfile.mkdtemp(prefix="groundq-"), "groundq.zip")
+        archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="groundq-")), "groundq.zip")  # a path that the JVM reads alike
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
             for folder, _, names in os.walk(root):
                 for name in sorted(n for n in names if n.endswith(".py")):
