@@ -20,10 +20,17 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 4000
 
 
+#: Whether a code point of the first 65,536 is a letter.
+_ALPHA = np.array([chr(c).isalpha() for c in range(1 << 16)])
+
+
 def _letters(code: np.ndarray) -> np.ndarray:
-    latin = ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128)
-    symbols = ((code >= 0x2000) & (code <= 0x2BFF)) | ((code >= 0x3000) & (code <= 0x3004))
-    return latin | ((code >= 0xAA) & (code != 0xD7) & (code != 0xF7) & ~symbols)
+    out = _ALPHA[np.minimum(code, (1 << 16) - 1)]
+    high = np.flatnonzero(code >= 1 << 16)
+    if len(high):
+        distinct, at = np.unique(code[high], return_inverse=True)
+        out[high] = np.array([chr(c).isalpha() for c in distinct])[at]
+    return out
 
 
 def grams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:

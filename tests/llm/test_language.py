@@ -25,6 +25,7 @@ def test_regression_on_its_own():
     logits, has = model.scores(["that thing", "nicht und", "", "123 --"])
     assert [model.classes[i] for i in logits[:2].argmax(axis=1)] == ["en", "de"] and has.tolist() == [True, True, False, False]
     assert 0 < (model.weights != 0).any(axis=1).sum() < 500 and 0.05 <= model.temperature <= 20
+    assert grams(["¿½ ² ·", "𝔸", "\U0001f600", "ß", "\udcff"])[1].tolist() == [False, True, False, True, False]
     for text, sizes in (("", [0, 0, 0]), ("a-- b", [3, 2, 1]), ("a", [1, 0, 0])):
         assert [int(b - a) for _, ((a, b),) in grams([text])[0]] == sizes
     alone, together = grams(["das x"])[0], grams(["the", "das x", ""])[0]
