@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundq.config import QUOTES_MOST, REFUSAL_TEXT
 from groundq.functions.refs import readable_ref
-from groundq.functions.text import fold_space, for_match, json_object, strip
+from groundq.functions.text import for_match, json_object, strip
 from groundq.operators.retrieve import last_wins
 
 
@@ -118,7 +118,3 @@ def grade_by_overlap(questions: DataFrame, quotes: DataFrame) -> DataFrame:
     both = quotes.join(questions, "qid").withColumns({"a": _words(F.col("question")), "b": _words(F.col("quote"))})
     score = F.floor(5.0 * F.size(F.array_intersect("a", "b")) / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)))
     return both.select("qid", "ref", score.cast("int").alias("score"))
-
-
-def same_words(a: Column, b: Column) -> Column:
-    return fold_space(a) == fold_space(b)

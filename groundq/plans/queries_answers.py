@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundq.config import REFUSAL_TEXT
@@ -56,11 +57,9 @@ PAIRS = """pairs AS (
 
 
 def _pairs(spark, d):
-    """Each user turn with the first assistant turn after it: a running minimum within the conversation, not a join."""
-    from pyspark.sql import Window as W
-
-    after = W.partitionBy("conv_id").orderBy("turn").rowsBetween(1, W.unboundedFollowing)
-    reply = F.min(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).over(after)
+    """Each user turn with the first assistant turn after it: the last one seen when the conversation is read backwards, not a join."""
+    after = W.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, -1)
+    reply = F.last(F.when(F.col("role") == "assistant", F.struct("turn", "text")), ignorenulls=True).over(after)
     rows = table(spark, d, "conversations").withColumn("reply", reply).where("role = 'user' AND reply IS NOT NULL")
     return rows.select("conv_id", F.col("turn").alias("question_turn"), F.col("reply.turn").alias("answer_turn"), F.col("text").alias("question"), F.col("reply.text").alias("answer"))
 

@@ -69,10 +69,6 @@ def trace_coverage(spark, d):
     return trace.coverage(rows, sources, "file")
 
 
-def _chapters(where):
-    return f"array_to_string(list_sort(list_distinct(list(chapter){where})), ',')"
-
-
 SUMMARY = f"""WITH {POOL} SELECT qid, array_to_string(list_sort(list_distinct(list(chapter))), ',') AS retrieval_chapters,
 array_to_string(list_sort(list_distinct(list(chapter) FILTER (selected = 'Y'))), ',') AS used_chapters,
 string_agg(rank || ':' || printf('%.4f', score), ',' ORDER BY rank) FILTER (selected = 'Y') AS used_ranks FROM pool GROUP BY qid"""
