@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundq.llm.shared import dropped, written
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest place that the links (i, j) lead to."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for each id in edges (a, b: long, not null), component the smallest id that edges lead to.
 

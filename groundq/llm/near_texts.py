@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.components import connected_components
+from groundq.llm.components import connected_components, roots
 from groundq.llm.shared import dropped, written
 from groundq.llm.streams import runs
 from groundq.llm.texts import BASE, Words, mixed, text_blocks
@@ -57,19 +57,6 @@ def runs_for(recall: float, jaccard: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alive)))
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n places the smallest place that the links (i, j) lead to."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _unpacked(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -105,7 +92,7 @@ def _stars(block: pa.RecordBatch, starts: np.ndarray, links_of) -> pa.RecordBatc
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
             rep = reps[a:b][touched]
-            out.append((rep, links, rep[_roots(len(touched), i, j)]))
+            out.append((rep, links, rep[roots(len(touched), i, j)]))
     if not out:
         return None
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])

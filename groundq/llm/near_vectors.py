@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.components import connected_components
+from groundq.llm.components import connected_components, roots
 from groundq.llm.shared import dropped, written
 from groundq.llm.streams import runs
 from groundq.llm.vectors import usable
@@ -88,19 +88,6 @@ def _early_meeting(filters: list[np.ndarray], this: int) -> np.ndarray:
     return holds @ holds.T > 0
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n places the smallest place that the links (i, j) lead to."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: float = 0.9, seed: int = 7, **code) -> DataFrame:
     """Links of cosine or more, as counts and components.
 
@@ -190,7 +177,7 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
                 weight, links = weights[a:b][touched], np.zeros(len(touched), "i8")
                 np.add.at(links, i, weight[j])
                 np.add.at(links, j, weight[i])
-                rep, label, some = reps[a:b][touched], _roots(len(touched), i, j), np.flatnonzero(links)
+                rep, label, some = reps[a:b][touched], roots(len(touched), i, j), np.flatnonzero(links)
                 out.append((rep[some], links[some], rep[label[some]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
