@@ -44,7 +44,7 @@ def test_refs(spark):
     assert one(spark, R.answer_items, "q1\nr1\n\n\n\nq2")[0].ref == "r1"
 
 
-@pytest.mark.parametrize("value,want", [('"He" Label, Ch. 13, §5', "He"), ("'x' leviathan_x.txt, Ch. 1, §2", "x"), ('"', '"'), (None, ""), ("plain", "plain")])
+@pytest.mark.parametrize("value,want", [('"He" Label, Ch. 13, §5', "He"), ("'x' book_x.txt, Ch. 1, §2", "x"), ('"', '"'), (None, ""), ("plain", "plain")])
 def test_clean_quote(spark, value, want):
     assert one(spark, T.clean_quote, value) == want
 
