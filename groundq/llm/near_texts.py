@@ -117,7 +117,7 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
     Rows that repeat an id and a set count as one text; an id with several texts gets the sum of their links and the smallest component.
     Rows with a null id come back with no links and a null component. Other columns are dropped, so clashing names do no harm. An empty
     table gives an empty result. Result: id, n_links (other texts linked, copies included), component_id (the smallest id that links lead
-    to), kept (the id is its component's).
+    to), kept (the id is its component's), class_id (the smallest id of the same set; its own for a text that links with nothing).
     """
     ship(docs.sparkSession)
     given = docs.select(F.col(id).cast("long").alias("id"))
@@ -258,12 +258,12 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
     named = parts.join(names, "component").select("rep", "c")
     sums = links.groupBy("rep").agg(F.sum("links").alias("links"))
     per_set = sets.select("key", "rep", "least_id", "weight").join(sums, "rep", "left").join(named, "rep", "left")
-    per_set = per_set.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least_id").alias("c"))
-    per_id = units.select("id", "key").distinct().join(per_set, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
-    out = given.join(per_id, "id", "left").select(
-        F.col("id").alias(id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")
+    per_set = per_set.select("key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least_id").alias("c"))
+    per_id = units.select("id", "key").distinct().join(per_set, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"), F.min("least_id").alias("k"))
+    kept = F.coalesce("c", "id").eqNullSafe(F.col("id")) & F.col("id").isNotNull()
+    return given.join(per_id, "id", "left").select(
+        F.col("id").alias(id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), kept.alias("kept"), F.coalesce("k", "id").alias("class_id")
     )
-    return out.withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")) & F.col(id).isNotNull())
 
 
 def keep_one(docs: DataFrame, *, id: str, text: str, **how) -> DataFrame:

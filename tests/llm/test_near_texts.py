@@ -51,6 +51,8 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in texts.items()], "doc_id long, text string, kept string, n_links int").repartition(4)
     got = {r.doc_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_texts(df, id="doc_id", text="text").collect()}
     assert got == brute(texts)
+    classes = {r.doc_id: r.class_id for r in near_duplicate_texts(df, id="doc_id", text="text").where("doc_id IN (0, 129, 149)").collect()}
+    assert classes[0] == 0 and classes[129] == classes[149] == 120  # capitals and closing marks make no other set
     kept = keep_one(df, id="doc_id", text="text")
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, v in got.items() if v[2])
