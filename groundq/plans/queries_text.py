@@ -174,7 +174,7 @@ def html_segments(spark, d):
 
 
 @query("""WITH books AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
-SELECT doc_id, 'A' AS chapter, 't' || ((i - 1) // 2) AS chapter_title, 's' || (i - 1) AS section_title, 1 AS chapter_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_number, md5(trim(l[i])) AS content
+SELECT doc_id, 'A' AS chapter, 't' || ((i - 1) // 2) AS chapter_title, 's' || (i - 1) AS section_title, CAST(1 AS BIGINT) AS chapter_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_number, md5(trim(l[i])) AS content
 FROM books, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
 def header_segments(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
