@@ -26,14 +26,14 @@ TARGETS, BUDGET = {"clean": 0.9, "noisy": 0.1}, 1.1
 
 
 def _row(docs: DataFrame) -> DataFrame:
-    """Each row under one column: what the operators need stands beside it, and no name can clash."""
-    return docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang")
+    """Each row under one column, so that no name can clash; the operators read the text within it."""
+    return docs.select(F.struct("*").alias("_row"), "lang")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on labelled ones among them, does not score TOXIC or more. All labels are used."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id="doc_id", text="text", label="toxic")
-    scored = score_texts(_row(docs), model, keys=["_row"], text="text")
+    scored = score_texts(_row(docs), model, keys=["_row"], text="_row.text")
     return scored.where(F.col("score") < TOXIC).select("_row.*")
 
 
@@ -41,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: they have a letter, and their lang, if any, is not surely another."""
     known = docs.where(crc_fold(F.col("doc_id"), 4) != 2)
     model = train_language(known, known, id="doc_id", text="text", label="lang")
-    told = identify(_row(docs), model, keys=["_row", "lang"], text="text")
+    told = identify(_row(docs), model, keys=["_row", "lang"], text="_row.text")
     wrong = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE)
     return told.where((F.col("lang_pred") != "und") & ~wrong).select("_row.*")
 

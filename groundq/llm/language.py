@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundq.llm.texts import BASE, text_blocks
+from groundq.llm.texts import BASE, text_blocks, text_within
 from groundq.shipping import ship
 
 #: Hashed n-grams; collisions share a weight.
@@ -70,7 +70,11 @@ class Model:
     temperature: float
 
     def __post_init__(self):
-        self.table = np.ascontiguousarray((self.weights * self.idf[:, None]).T)
+        self.table = np.ascontiguousarray((self.weights * self.idf[:, None]).T, "f4")
+
+    def __getstate__(self) -> dict:
+        """What predictions need, which is all that is sent to executors."""
+        return {**vars(self), "weights": None, "idf": None}
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, class) logits and whether each text has a letter. A text is its n-grams' mean, each times its idf."""
@@ -188,12 +192,13 @@ def identify(docs: DataFrame, model: Model | None, *, keys: list[str], text: str
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^BITS weights a class
     kept = {k: f"key_{i}" for i, k in enumerate(keys)}
+    column, field = text_within(text, kept)
 
     def predict(batches):
         model = shared.value
         for batch in batches:
             names, scores = [], []
-            for lo, hi, content in text_blocks(batch.column("text")):
+            for lo, hi, content in text_blocks(batch.column(column).field(field) if field else batch.column(column)):
                 if model is None:
                     names += ["und"] * (hi - lo)
                     scores.append(np.zeros(hi - lo))
@@ -207,5 +212,6 @@ def identify(docs: DataFrame, model: Model | None, *, keys: list[str], text: str
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], [*kept.values(), "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(i, docs.schema[k].dataType) for k, i in kept.items()]).add("lang_pred", "string").add("score", "double")
-    rows = docs.select(*(F.col(k).alias(i) for k, i in kept.items()), F.col(text).alias("text")).mapInArrow(predict, schema)
+    sent = [F.col(k).alias(i) for k, i in kept.items()] + ([] if field else [F.col(text).alias("text")])
+    rows = docs.select(*sent).mapInArrow(predict, schema)
     return rows.select(*(F.col(i).alias(k) for k, i in kept.items()), "lang_pred", "score")

@@ -114,6 +114,12 @@ def text_blocks(column: pa.Array):
         start = end
 
 
+def text_within(text: str, kept: dict[str, str]) -> tuple[str, str]:
+    """(column, field) to read a text from: the column "text", or, for the name "key.field", that field of a key that is sent anyway."""
+    key, _, field = text.partition(".")
+    return (kept[key], field) if field and key in kept else ("text", "")
+
+
 def blocks(texts: list[str | None]):
     """(first, end) of runs of texts that together have about BLOCK_BYTES bytes, or are one long text."""
     start, size = 0, 0

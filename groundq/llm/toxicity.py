@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundq.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
-from groundq.llm.texts import Words, blocks, text_blocks, word_hash
+from groundq.llm.texts import Words, blocks, text_blocks, text_within, word_hash
 from groundq.shipping import ship
 
 #: The classifier is fitted on at most so many labelled texts: those of the smallest hashes of id.
@@ -186,13 +186,15 @@ def score_texts(docs: DataFrame, model: Model, *, keys: list[str], text: str) ->
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
     kept = {k: f"key_{i}" for i, k in enumerate(keys)}
+    column, field = text_within(text, kept)
 
     def predict(batches):
         for batch in batches:
-            scores = [shared.value.scores(content) for _, _, content in text_blocks(batch.column("text"))]
+            scores = [shared.value.scores(content) for _, _, content in text_blocks(batch.column(column).field(field) if field else batch.column(column))]
             columns = [*(batch.column(c) for c in kept.values()), pa.array(np.concatenate([*scores, np.zeros(0)]))]
             yield pa.RecordBatch.from_arrays(columns, [*kept.values(), "score"])
 
     schema = T.StructType([T.StructField(i, docs.schema[k].dataType) for k, i in kept.items()]).add("score", "double")
-    rows = docs.select(*(F.col(k).alias(i) for k, i in kept.items()), F.col(text).alias("text")).mapInArrow(predict, schema)
+    sent = [F.col(k).alias(i) for k, i in kept.items()] + ([] if field else [F.col(text).alias("text")])
+    rows = docs.select(*sent).mapInArrow(predict, schema)
     return rows.select(*(F.col(i).alias(k) for k, i in kept.items()), "score")
