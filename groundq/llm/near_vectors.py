@@ -18,6 +18,8 @@ from groundq.shipping import ship
 
 #: Rows of a filter that one task compares with each other; larger filters are compared chunk by chunk.
 CHUNK = 1024
+#: Random pairs of the least cosine that a code's recall is measured on, and the codes beyond which the recall counts as out of reach.
+PAIRS, MOST_CODES = 4000, 256
 
 
 def cap_height(dims: int, rate: float) -> float:
@@ -28,33 +30,58 @@ def cap_height(dims: int, rate: float) -> float:
     return float(t[np.searchsorted(-above, -rate * above[0])])
 
 
+def _pairs(dims: int, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors of this cosine; of one dimension, where there are none, equal ones."""
+    x = rng.standard_normal((PAIRS, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dims == 1:
+        return x, x
+    y = rng.standard_normal((PAIRS, dims))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
 class CapCode:
     """Filter directions of a few codes: in each, all concatenations of one code word for each block of a randomly rotated space.
 
     A vector passes a filter if its inner product with the unit direction exceeds the height of a cap. Of vectors in general position each
     passes about `passes` filters of each code, and each filter is passed by about `bucket` of n vectors; that sets the height and the
-    number of words.
+    number of words. The higher the caps, the fewer pairs meet in one code: from `codes` on, codes are added until of random pairs of the
+    given cosine a share of `recall` meets.
     """
 
-    def __init__(self, dims: int, n: int, *, codes: int = 4, passes: float = 9.0, bucket: float = 48.0, seed: int = 7):
+    def __init__(self, dims: int, n: int, *, cosine: float = 0.9, recall: float = 0.96, codes: int = 4, passes: float = 9.0, bucket: float = 48.0, seed: int = 7):
         rng = np.random.default_rng(seed)
         rate = min(0.2, bucket / max(n, 1))
         self.threshold = cap_height(dims, rate)
-        blocks = min(dims, 2 if passes / rate < 1e7 else 3)
+        # two blocks meet more often than three at equal passes, for words that grow as the root of n (20,000 at two thousand million vectors)
+        blocks = min(dims, 2 if passes / rate < 4e8 else 3)
         words = max(2, math.ceil((passes / rate) ** (1 / blocks)))
         self.cuts = np.linspace(0, dims, blocks + 1).round().astype(int)
         self.codes = []
-        for _ in range(codes):
+        left, right = _pairs(dims, cosine, np.random.default_rng(seed + 1))
+        apart = np.arange(len(left))
+        while len(self.codes) < codes or len(apart) > (1 - recall) * len(left):
+            if len(self.codes) >= max(codes, MOST_CODES):
+                raise ValueError(f"{MOST_CODES} codes do not reach a recall of {recall} at cosine {cosine}, {dims} dimensions and {n} vectors")
             rotation, each = np.linalg.qr(rng.standard_normal((dims, dims)))[0], []
             for a, b in zip(self.cuts, self.cuts[1:], strict=False):
                 code = rng.standard_normal((words, b - a))
                 each.append(code / np.linalg.norm(code, axis=1, keepdims=True) * math.sqrt((b - a) / dims))
             self.codes.append((rotation, each))
+            met = [self._meet(left[part], right[part]) for part in np.split(apart, range(512, len(apart), 512))]
+            apart = apart[~np.concatenate(met)]
+
+    def _meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether each row of x shares a filter of the last code with that of y."""
+        (i, f), (j, g) = self.decode(x, len(self.codes) - 1), self.decode(y, len(self.codes) - 1)
+        both = np.intersect1d(np.rec.fromarrays([i, f]), np.rec.fromarrays([j, g]))
+        return np.isin(np.arange(len(x)), both["f0"])
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that each row exceeds: partial sums that the best remaining words cannot lift are given up."""
+    def decode(self, x: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of all filters, of the first code or a later one on, that each row exceeds: partial sums that the best remaining words cannot lift are given up."""
         out = []
-        for number, (rotation, words) in enumerate(self.codes):
+        for number, (rotation, words) in list(enumerate(self.codes))[first:]:
             turned = x @ rotation
             scores = [turned[:, a:b] @ w.T for a, b, w in zip(self.cuts, self.cuts[1:], words, strict=False)]
             best = [s.max(axis=1) for s in scores]
@@ -92,10 +119,11 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
     """Links of cosine or more, as counts and components.
 
     Equal unit vectors become one representative with a weight. Each representative is list-decoded to all cap filters that it exceeds
-    (CapCode, sized by the number of representatives); filters are the join key. Within a filter, chunk against chunk of at most CHUNK
+    (CapCode, sized by the number of representatives and the cosine); filters are the join key. Within a filter, chunk against chunk of at most CHUNK
     rows, exact cosines in double precision are computed; a pair counts only in the smallest filter that it shares, so no pair counts
     twice and no pairs are written: a task returns for each representative its links and one edge to its component within the chunk.
-    A pair of the given cosine shares some filter with a probability of over 0.95 (measured in the tests); none below it is linked.
+    A pair of the given cosine shares some filter with a probability of over 0.95, whatever the number of vectors (codes are added until
+    0.96 of random pairs do); none below it is linked.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: no links, their own component.
     id must be a long. Rows with a null id come back as they are, with no links and a null component; rows that repeat an id and a
@@ -125,7 +153,7 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
     groups = units.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min("packed").alias("packed"))
     groups = written(groups, "vector-groups")
     n = groups.count()
-    caps = CapCode(dims, n, seed=seed, **code)
+    caps = CapCode(dims, n, cosine=cosine, seed=seed, **code)
 
     def decoded(batches):
         for batch in batches:

@@ -60,3 +60,19 @@ def test_empty_null_ids_and_repeats(spark):
     got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(rows, id="vec_id", vector="embedding").collect())
     assert got == [(-1, 0, None, False), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
     assert near_duplicate_vectors(rows.limit(0), id="vec_id", vector="embedding").count() == 0
+
+
+def test_recall_on_large_tables():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((1000, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for n in (54_000_000, 115_000_000):
+        caps = CapCode(64, n)
+        met = 0
+        for lo in range(0, len(x), 100):
+            a, b = (set(zip(*(part.tolist() for part in caps.decode(v[lo : lo + 100])), strict=True)) for v in (x, y))
+            met += len({row for row, _ in a & b})
+        assert met / len(x) >= 0.95
