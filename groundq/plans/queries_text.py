@@ -80,6 +80,35 @@ def clean_quote(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.clean_quote(line)).alias("quote"))
 
 
+# strip_ref and clean_quote above take first lines, as their SQL does; the _whole queries take the whole texts.
+_LABEL = r"[A-Za-z][\p{L}\p{N}_\s\-]{0,80},\s*"
+_CHAPTER = r"(?:Ch\.|Chapter)\s*\d+.*$"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _without(c: str, reference: str) -> str:
+    return _stripped(f"regexp_replace({c}, '(?i)\\s+{reference}{_CHAPTER}', '')")
+
+
+@query("SELECT doc_id, md5(" + _without("text || ' Source, Ch. 13, §5'", _LABEL) + ") AS quote FROM documents")
+def strip_ref_whole(spark, d):
+    whole = F.concat("text", F.lit(" Source, Ch. 13, §5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(refs.strip_ref(whole)).alias("quote"))
+
+
+_CLEANED = _without(_without("""'"' || text || '" corpus_ch_13_x_s05_y.txt, Ch. 13, §5'""", r"[a-z0-9][a-z0-9._-]*\.(?:txt|md|pdf)\s*,?\s*"), f"(?:{_LABEL})?")
+
+
+@query(f"""WITH cleaned AS (SELECT doc_id, {_CLEANED} AS q FROM documents)
+SELECT doc_id, md5(CASE WHEN length(q) >= 2 AND q[1] IN ('"', '''') AND q[1] = q[-1] THEN {_stripped('q[2:-2]')} ELSE q END) AS quote FROM cleaned""")
+def clean_quote_whole(spark, d):
+    whole = F.concat(F.lit('"'), "text", F.lit('" corpus_ch_13_x_s05_y.txt, Ch. 13, §5'))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.clean_quote(whole)).alias("quote"))
+
+
 @query(f"SELECT doc_id, md5({matched('text')}) AS norm FROM documents")
 def norm_match(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.for_match(F.col("text"))).alias("norm"))
@@ -168,6 +197,13 @@ def reformat_answer(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(refs.reformat_answer(raw)).alias("answer"))
 
 
+@query()
+def reformat_answer_whole(spark, d):
+    """As reformat_answer, which takes first lines as its SQL does, over the whole texts; SQL has no fold over their lines."""
+    raw = F.concat(F.lit('"'), "text", F.lit('" 【1:0†x_ch_07_of_power.txt】\n"two" 【2:1†a.md】\nwords Source, Ch. 9, §1\nb_ch_08_y_s02_z.txt\n\nSOURCES (verified)\n- file'))
+    return table(spark, d, "documents").select("doc_id", F.md5(refs.reformat_answer(raw)).alias("answer"))
+
+
 @query()
 def html_segments(spark, d):
     return segment_html(table(spark, d, "pages"), id="page_id", html="html", container="article", container_class=None, title="h1", section="h2", block="p")
