@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import json
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from collections import Counter, defaultdict, deque
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundq.llm.shared import dropped, written
+from groundq.llm.texts import text_blocks
+from groundq.llm.tokens import encoder
 from groundq.shipping import ship
 
-#: The pattern that splits text before the merges of byte-level vocabularies.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Documents of about so many tokens are planned at once in a task.
-POOL_TOKENS = 1 << 22
-#: Lengths that triples are built on: the most frequent of a pool.
+#: Lengths that triples are built on: the most frequent ones.
 TRIPLE_LENGTHS = 48
-
-
-def load_encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a tokenizers JSON file; ids are those of the file, special tokens included."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+#: Whole windows are numbered from here on, by the task that read them; planned sequences from 0.
+WINDOWS = 1 << 40
 
 
 def combinations(counts: np.ndarray, window: int) -> np.ndarray:
@@ -73,120 +63,202 @@ def solve_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -
     return x
 
 
-def plan(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (piece, from, to) that hold all pieces, each shorter than the window.
+@dataclass
+class Plan:
+    """Where each piece goes. Pieces of one length are told apart by their rank, from 0 on.
 
-    Repeats are rounded down and taken as far as pieces are left; what is left is packed greedily: the longest that fits, and where none
-    fits the shortest is cut. All sequences fill the window but the last ones, whose lengths are powers of two.
+    runs: for (length, begin) runs of ranks as (first rank, end, sequence, offset), ordered by rank: of the piece of rank r the tokens from
+    begin to end stand at the offset of the sequence + r - first rank. patterned: how many sequences, the first ones, come from patterns.
     """
-    counts = np.bincount(lengths, minlength=window + 1)
-    order = np.argsort(lengths, kind="stable")
-    ends = np.cumsum(counts)
-    left = counts.copy()
-    patterns = combinations(counts, window)
-    repeats = np.floor(solve_repeats(patterns, counts) + 1e-6).astype(int)
-    out = []
-
-    def take(length: int) -> int:
-        left[length] -= 1
-        return int(order[ends[length] - 1 - left[length]])
-
-    for p in np.argsort(-repeats, kind="stable"):
-        if not repeats[p]:
-            break
-        need = np.bincount(patterns[p][patterns[p] > 0])
-        some = np.flatnonzero(need)
-        for _ in range(min([repeats[p], *(left[some] // need[some])])):
-            out.append([(take(n), 0, int(n)) for n in patterns[p] if n])
-    rest = sorted((int(n), take(n), 0) for n in np.flatnonzero(left) for _ in range(left[n]))  # (length, piece, from)
-    total = sum(n for n, _, _ in rest)
-    sizes = [window] * (total // window)
-    bit, tail = 1 << window.bit_length(), total % window
-    while tail:
-        bit //= 2
-        if tail >= bit:
-            sizes.append(bit)
-            tail -= bit
-    for size in sizes:
-        row, space = [], size
+
+    window: int
+    runs: dict[tuple[int, int], list[tuple[int, int, int, int]]] = field(default_factory=lambda: defaultdict(list))
+    sequences: int = 0
+    patterned: int = 0
+
+    def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
+        """(begin, end, sequence, offset) of the parts of one piece."""
+        out, begin = [], 0
+        while begin < length:
+            runs = self.runs[length, begin]
+            first, end, sequence, offset = runs[bisect_right(runs, (rank, 1 << 62)) - 1]
+            out.append((begin, end, sequence + rank - first, offset))
+            begin = end
+        return out
+
+
+def plan(counts: np.ndarray, window: int) -> Plan:
+    """Sequences for a histogram of piece lengths, each below the window: all but the last few are exactly full.
+
+    Repeats of the patterns that fill a window are rounded down, then up by falling fraction as far as pieces are left. What is left is
+    packed greedily: the longest that fits, and where none fits the shortest is cut; a sequence that can be repeated is planned once. The
+    last sequences have lengths that are powers of two. The work depends on the number of lengths, hardly on the number of pieces.
+    """
+    out, left = Plan(window), np.array(counts, "i8")
+    left[0] = 0
+    # what is left of each length, as runs of ranks of an original length with what was cut off before: (length, first, end, begin)
+    pools: dict[int, deque] = {int(n): deque([(int(n), 0, int(left[n]), 0)]) for n in np.flatnonzero(left)}
+
+    def place(members: list[tuple[int, int]], times: int) -> None:
+        """Takes `times` sequences of the members (length, how much of it)."""
+        offset = 0
+        for length, used in members:
+            need, sequence = times, out.sequences
+            while need:
+                own, first, end, begin = pools[length][0]
+                taken = min(need, end - first)
+                out.runs[own, begin].append((first, begin + used, sequence, offset))
+                if used < length:
+                    pools.setdefault(length - used, deque()).append((own, first, first + taken, begin + used))
+                    left[length - used] += taken
+                if first + taken < end:
+                    pools[length][0] = (own, first + taken, end, begin)
+                else:
+                    pools[length].popleft()
+                need, sequence = need - taken, sequence + taken
+            left[length] -= times
+            offset += used
+        out.sequences += times
+
+    patterns = combinations(left, window)
+    repeats = solve_repeats(patterns, left)
+    whole = np.floor(repeats + 1e-6).astype("i8")
+    fraction = repeats - whole
+    for order, most in ((np.argsort(-whole, kind="stable"), whole), (np.argsort(-fraction, kind="stable"), (fraction > 1e-3).astype("i8"))):
+        for p in order:
+            if not most[p]:
+                break
+            lengths = [int(n) for n in patterns[p] if n]
+            times = min(int(most[p]), *(int(left[n]) // lengths.count(n) for n in lengths))
+            if times:
+                place([(n, n) for n in lengths], times)
+    out.patterned = out.sequences
+
+    available = [int(n) for n in np.flatnonzero(left)]  # ascending
+
+    def fill(size: int, least: int) -> None:
+        """A sequence of this size as often as its lengths allow, `least` times or more: lengths with fewer pieces wait."""
+        space, members, used = size, [], Counter()
+        top = bisect_right(available, space) - 1
         while space:
-            at = bisect_right(rest, (space, float("inf"), 0)) - 1
-            n, piece, begin = rest.pop(max(at, 0))
-            used = min(n, space)
-            row.append((piece, begin, begin + used))
-            space -= used
-            if used < n:
-                left_over = (n - used, piece, begin + used)
-                rest.insert(bisect_right(rest, left_over), left_over)
-        out.append(row)
+            while top >= 0 and (available[top] > space or left[available[top]] // least <= used[available[top]]):
+                top -= 1
+            if top >= 0:
+                n = available[top]
+                k = min(space // n, int(left[n]) // least - used[n])
+                members += [(n, n)] * k
+                used[n] += k
+                space -= n * k
+            else:  # the shortest that is left is longer than the space
+                n = next(n for n in available if left[n] // least > used[n])
+                members.append((n, space))
+                used[n] += 1
+                space = 0
+        place(members, min(int(left[n]) // m for n, m in used.items()) if size == window else 1)
+        for n in {length for length, _ in members} | {length - part for length, part in members if part < length}:
+            at = bisect_right(available, n) - 1
+            listed = at >= 0 and available[at] == n
+            if left[n] and not listed:
+                insort(available, n)
+            elif not left[n] and listed:
+                available.pop(at)
+
+    total = int((left * np.arange(len(left))).sum())
+    while total >= window:
+        before = out.sequences
+        # so many times that the rest halves within some hundred steps, and few enough that the pieces at hand always fill a window
+        fill(window, max(1, total // window // window))
+        total -= (out.sequences - before) * window
+    bit = 1 << window.bit_length()
+    while total:
+        bit //= 2
+        if total >= bit:
+            fill(bit, 1)
+            total -= bit
+    for runs in out.runs.values():
+        runs.sort()
     return out
 
 
+def _encoded(docs: DataFrame, id: str, text: str, vocabulary: str, window: int, end: int) -> DataFrame:
+    """Ids of every document, with the length of what is left after whole windows (tail) and its number among those of the task (place)."""
+    with open(vocabulary, encoding="utf-8") as f:  # on the driver; executors get the content
+        content = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # the vocabulary file, a few MB
+    schema = f"key {dict(docs.dtypes)[id]}, n long, tail int, part int, place long, windows long, ids binary, wide boolean"
+
+    def encode(batches):
+        encode_texts = encoder(shared.value)
+        part, seen, windows = TaskContext.get().partitionId(), np.zeros(window, "i8"), 0
+        for batch in batches:
+            for lo, hi, texts in text_blocks(batch.column("text")):
+                rows = []
+                for ids in encode_texts.encode(texts):
+                    n, wide = len(ids) + 1, bool(len(ids) and ids.max() > 65535 or end > 65535)
+                    tail = n % window
+                    rows.append((n, tail, part, int(seen[tail]), windows, np.append(ids, end).astype("<u4" if wide else "<u2").tobytes(), wide))
+                    seen[tail] += 1
+                    windows += n // window
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), *arrays], ["key", "n", "tail", "part", "place", "windows", "ids", "wide"])
+
+    return docs.select(F.col(id).alias("key"), F.col(text).alias("text")).mapInArrow(encode, schema)
+
+
 def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, window: int = 1024, end: int = 0) -> DataFrame:
     """Every token of every document, in pieces of sequences of at most `window` tokens without padding.
 
-    A document's ids are those of its whole text (null: empty) by the vocabulary file, then `end`. Whole windows of long documents are
-    sequences of their own. The remainders of a pool of documents (about POOL_TOKENS, within one task) are planned against the histogram
-    of their lengths: `combinations` enumerates pairs and triples that fill the window, `solve_repeats` finds how often to use each by
-    non-negative least squares, `plan` rounds and packs what is left greedily, cutting where nothing fits. The last sequences of a pool
-    have lengths that are powers of two. Nothing is shuffled; a task's result depends on its own rows alone, so it can run again.
+    A document's ids are those of its whole text (null: empty) by the vocabulary file and the tokenizers library, then `end`. Whole windows
+    of long documents are sequences of their own. The remainders of all documents are planned at once, against the histogram of their
+    lengths, which is all that reaches the driver (fewer than `window` counts): `combinations` enumerates pairs and triples that fill the
+    window, `solve_repeats` finds how often to use each by non-negative least squares, `plan` rounds and packs what is left greedily,
+    cutting where nothing fits. The very last sequences of the table have lengths that are powers of two.
+
+    A remainder finds its place in the plan by its length and its rank among those of that length. Ranks are numbers within the task that
+    encoded it, plus what earlier tasks have of that length: a small table (task, length) which Spark broadcasts or, where it is large,
+    joins by a shuffle. Ids are written once to the shared folder; nothing else is shuffled, whatever the number of tasks.
 
     Rows that repeat are packed as often as they come; null ids are kept. Other columns are dropped, so clashing names do no harm. An
-    empty table gives an empty result. Memory is bounded by a pool and one document. Result: id, start, length, ids (little-endian
-    unsigned 32-bit), doc_tokens, sequence_id, offset.
+    empty table gives an empty result. Memory is bounded by a block of texts or one document. Result: id, start, length, ids (little-endian
+    unsigned 32-bit), doc_tokens, sequence_id, offset, kind (window, pattern or greedy: what made the sequence).
     """
     ship(docs.sparkSession)
-    key_type = dict(docs.dtypes)[id]
-    names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-
-    def pack(batches):
-        encoding = load_encoding(vocabulary)
-        special = set(encoding.special_tokens_set)
-        base, number = TaskContext.get().partitionId() << 40, 0
-
-        def packed(pool: list) -> list[tuple]:
-            nonlocal number
-            out, tails, lengths = [], [], []
-            for d, (_, ids) in enumerate(pool):
-                whole = len(ids) - len(ids) % window
-                for at in range(0, whole, window):
-                    out.append((d, at, window, base + number, 0))
-                    number += 1
-                if whole < len(ids):
-                    tails.append((d, whole))
-                    lengths.append(len(ids) - whole)
-            for row in plan(np.array(lengths, int), window) if tails else []:
-                offset = 0
-                for piece, a, b in row:
-                    d, at = tails[piece]
-                    out.append((d, at + a, b - a, base + number, offset))
-                    offset += b - a
-                number += 1
-            return out
-
-        def batches_of(pool: list, key_arrow: pa.DataType):
-            rows = packed(pool)
-            for lo in range(0, len(rows), 4096):
-                part = rows[lo : lo + 4096]
-                keys = pa.array([pool[r[0]][0] for r in part], key_arrow)
-                columns = ([r[1] for r in part], [r[2] for r in part], [pool[d][1][a : a + n].tobytes() for d, a, n, _, _ in part], [len(pool[r[0]][1]) for r in part], [r[3] for r in part], [r[4] for r in part])
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
-
-        pool, tokens, key_arrow = [], 0, None
+    encoded = written(_encoded(docs, id, text, vocabulary, window, end), "token-ids")
+    counted = written(encoded.where("tail > 0").groupBy("part", "tail").agg(F.count("*").alias("n")), "tail-counts")
+    counts = np.zeros(window, "i8")
+    for r in counted.groupBy("tail").agg(F.sum("n").alias("n")).collect():
+        counts[r.tail] = r.n
+    planned = plan(counts, window)
+    shared = docs.sparkSession.sparkContext.broadcast(planned)  # bounded by the number of lengths, not by that of documents
+    earlier = F.sum("n").over(W.partitionBy("tail").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = written(counted.select("part", "tail", F.coalesce(earlier, F.lit(0)).alias("before")), "tail-ranks")
+    dropped(counted)
+
+    def cut(batches):
+        own = shared.value
         for batch in batches:
-            key_arrow = batch.column("key").type
+            out, keys = [], []
             for i in range(batch.num_rows):
-                content = batch.column("text")[i].as_py() or ""
-                ids = encoding.encode(content, allowed_special=special)
-                ids.append(end)
-                pool.append((batch.column("key")[i].as_py(), np.array(ids, "<u4")))
-                tokens += len(ids)
-                if tokens >= POOL_TOKENS:
-                    yield from batches_of(pool, key_arrow)
-                    pool, tokens = [], 0
-        if pool:
-            yield from batches_of(pool, key_arrow)
-
-    schema = f"key {key_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id).alias("key"), F.col(text).alias("text")).mapInArrow(pack, schema).withColumnRenamed("key", id)
+                n, tail, part, place, windows, wide, before = (batch.column(c)[i].as_py() for c in ("n", "tail", "part", "place", "windows", "wide", "before"))
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4" if wide else "<u2").astype("<u4")
+                whole = n - tail
+                rows = [(at, at + window, WINDOWS * (part + 1) + windows + k, 0, "window") for k, at in enumerate(range(0, whole, window))]
+                if tail:
+                    rows += [(whole + a, whole + b, s, o, "pattern" if s < own.patterned else "greedy") for a, b, s, o in own.pieces(tail, place + before)]
+                keys += [i] * len(rows)
+                out += [(a, b - a, ids[a:b].tobytes(), n, s, o, kind) for a, b, s, o, kind in rows]
+                if len(out) >= 4096:
+                    yield piece_batch(batch, keys, out)
+                    out, keys = [], []
+            if out:
+                yield piece_batch(batch, keys, out)
+
+    def piece_batch(batch, keys, out):
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys)), *arrays], ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "kind"])
+
+    schema = f"key {dict(docs.dtypes)[id]}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, kind string"
+    ranked = encoded.join(offsets, ["part", "tail"], "left").select("key", "n", "tail", "part", "place", "windows", "ids", "wide", F.coalesce("before", F.lit(0)).alias("before"))
+    return ranked.mapInArrow(cut, schema).withColumnRenamed("key", id)

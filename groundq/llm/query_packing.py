@@ -13,7 +13,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def digests(pieces: DataFrame) -> DataFrame:
     return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "kind"
     )
 
 

@@ -1,25 +1,55 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from groundq.llm.packing import combinations, load_encoding, pack_documents, plan, solve_repeats
+from groundq.llm import tokens
+from groundq.llm.packing import combinations, pack_documents, plan, solve_repeats
 from groundq.llm.query_packing import digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = [None, "", " ", "a", "it's  two\n\n x", "é𝔸 ½ ٣ \x85　x", "<|endoftext|> <|endoftext", "x" * 70_000, " " * 3000 + "y", "ab " * 60_000, "퟿\x00\t\r\n"]
+ODD = [None, "", " ", "a", "it's  two\n\n x", "é𝔸 ½ ٣ \x85　x", "<|endoftext|> <|endoftext", "x" * 70_000, " " * 3000 + "y", "ab " * 60_000, "퟿\x00\t\r\n"]
+RUNS = [" " * 10**6 + "a", "\t" * 10**6 + "a", " \n" * (10**6 // 2) + "a", "a" + " " * 10**6, "'" * 10**5 + "s"]
 
 
-def test_vocabulary_is_that_of_the_tokenizer(spark):
-    t, own = Tokenizer.from_file(PATH), load_encoding(PATH)
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [x or "" for x in ODD]
-    for text in texts:
-        assert own.encode(text, allowed_special=own.special_tokens_set) == t.encode(text, add_special_tokens=False).ids, text[:80]
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
 
 
-def test_least_squares_and_plan():
+@pytest.fixture(scope="module")
+def own():
+    return tokens.Encoder(open(PATH, encoding="utf-8").read())
+
+
+def test_ids_are_those_of_the_library(spark, library, own):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + [x or "" for x in ODD] + RUNS
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_ids_of_random_texts_alone_and_in_parts(library, own, monkeypatch):
+    rng = random.Random(1)
+    letters = "ab '’stremvdlE1٣½ \n\t\x0b\x1c\x85\xa0　!.,é𝔸中́​😀"
+    for part in (tokens.PART_CHARS, 20):
+        monkeypatch.setattr(tokens, "PART_CHARS", part)
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+        texts = [t + "<|endoftext|>" + t if i % 50 == 0 else t for i, t in enumerate(texts)]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_remembered_pieces_can_be_forgotten(library, own, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    for text in ("one two three four", "two five four", "one"):
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_least_squares():
     rng = np.random.default_rng(5)
     for lengths in (rng.integers(1, 64, 3000), np.full(500, 40), np.array([63]), rng.integers(30, 40, 700)):
         counts = np.bincount(lengths, minlength=65)
@@ -29,26 +59,44 @@ def test_least_squares_and_plan():
         if len(patterns):
             grad = np.array([sum((np.bincount(patterns.ravel(), np.repeat(x, 3), 65) - counts)[n] for n in p if n) for p in patterns])
             assert (grad > -0.05 * counts.max() - 1).all()  # no pattern would still help much
-        covered = defaultdict(list)
-        for row in plan(lengths, 64):
-            total = sum(b - a for _, a, b in row)
-            assert total == 64 or total & (total - 1) == 0
-            for piece, a, b in row:
-                covered[piece].append((a, b))
-        for piece, n in enumerate(lengths):
-            at = 0
-            for a, b in sorted(covered[piece]):
-                assert a == at and b > a
-                at = b
-            assert at == n
-
-
-def test_round_trip(spark):
-    texts = ODD + ["word " * (i * 7 % 400) for i in range(200)]
+
+
+def test_plan_holds_every_piece_once():
+    rng = np.random.default_rng(5)
+    some = (rng.integers(1, 64, 3000), np.full(500, 40), np.array([63]), rng.integers(30, 40, 700), np.full(100_001, 63), np.full(999, 33), np.array([], int), rng.integers(60, 64, 10))
+    for lengths in some:
+        counts = np.bincount(lengths, minlength=64)
+        planned, at = plan(counts, 64), defaultdict(list)
+        for n in np.flatnonzero(counts):
+            for rank in range(counts[n]):
+                begin = 0
+                for a, b, sequence, offset in planned.pieces(int(n), rank):
+                    assert a == begin and b > a and 0 <= sequence < planned.sequences
+                    at[sequence].append((offset, b - a))
+                    begin = b
+                assert begin == n
+        total, short = 0, []
+        for sequence in range(planned.sequences):
+            offset = 0
+            for o, n in sorted(at[sequence]):
+                assert o == offset
+                offset += n
+            total += offset
+            short += [offset] * (offset < 64)
+        assert total == lengths.sum() and all(n & (n - 1) == 0 for n in short) and len(set(short)) == len(short)
+
+
+def test_work_does_not_grow_with_the_number_of_pieces():
+    counts = np.random.default_rng(7).integers(0, 10**9, 1024)
+    planned = plan(counts, 1024)
+    assert planned.patterned > 0.7 * planned.sequences and sum(map(len, planned.runs.values())) < 200_000
+
+
+def test_round_trip(spark, library):
+    texts = ODD + RUNS[:3] + ["word " * (i * 7 % 400) for i in range(200)]
     df = spark.createDataFrame([(i if i != 3 else None, x, "clash") for i, x in enumerate(texts)] * 2, "doc_id long, text string, ids string").repartition(3)
     pieces = digests(pack_documents(df, id="doc_id", text="text", vocabulary=PATH)).collect()
-    t = Tokenizer.from_file(PATH)
-    ids = {(i if i != 3 else None): t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
+    ids = {(i if i != 3 else None): library.encode(x or "", add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
     seqs, seen = defaultdict(list), defaultdict(int)
     for p in pieces:
         own = ids[p.doc_id]
@@ -65,6 +113,13 @@ def test_round_trip(spark):
         assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)
 
 
+@pytest.mark.parametrize("partitions", [4, 211])
+def test_most_sequences_come_from_patterns(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(partitions)
+    kinds = Counter(pack_documents(docs, id="doc_id", text="text", vocabulary=PATH).groupBy("sequence_id").agg({"kind": "min"}).toPandas()["min(kind)"])
+    assert kinds["pattern"] > 0.75 * (kinds["pattern"] + kinds["greedy"])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(df, id="doc_id", text="text", vocabulary=PATH).count() == 0
