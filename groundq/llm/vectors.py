@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def usable(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, matrix in double precision) of the vectors that are neither null nor empty and hold only finite components.
-
-    All have the same length, dims or else that of the first usable vector; others raise ValueError.
-    """
+def usable(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix in double precision) of the vectors that are neither null nor empty and hold only finite components, by length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lists = column.flatten().to_numpy(zero_copy_only=False).astype("f8")  # null components become nan
     lengths = np.array(column.value_lengths().fill_null(0), dtype="i8")
     starts = np.cumsum(lengths) - lengths
     bad = np.concatenate([[0], np.cumsum(~np.isfinite(lists))])
     good = np.flatnonzero((lengths > 0) & (bad[starts + lengths] == bad[starts]))
-    if not len(good):
-        return good, np.zeros((0, dims or 0))
-    width = dims or int(lengths[good[0]])
-    if (lengths[good] != width).any():
-        raise ValueError(f"vectors of {width} components are asked for; some have another length")
-    return good, lists[starts[good][:, None] + np.arange(width)]
+    for width in np.unique(lengths[good]):
+        own = good[lengths[good] == width]
+        yield own, lists[starts[own][:, None] + np.arange(width)]
+
+
+def common_length(table: DataFrame, n: str) -> int:
+    """The most frequent value of n; of equally frequent ones the smallest, 0 for an empty table."""
+    found = table.groupBy(n).agg(F.count("*").alias("times")).orderBy(F.desc("times"), n).first()
+    return int(found[n]) if found else 0

@@ -21,18 +21,27 @@ def test_against_brute_force(spark, size):
     rows = [(i, [float(x) for x in v], i) for i, v in vectors.items()] * 2
     odd = [(1000, None, 0), (1050, [float("nan")] * 16, 0), (1100, [None] * 16, 0), (1150, [], 0), (None, [1.0] * 16, 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int").repartition(3)
-    got = top_k_inner_product(df, id="vec_id", vector="embedding", queries="id % 50 = 0", k=5, shard_rows=200, block_rows=8)
+    got = top_k_inner_product(df, id="vec_id", vector="embedding", queries="id % 50 = 0", k=5, shard_rows=60)
     assert {tuple(r) for r in got.collect()} == brute(vectors, 5)
 
 
-def test_few_rows_empty_table_and_two_vectors_of_an_id(spark):
+def test_few_rows_and_empty_table(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
     got = top_k_inner_product(rows, id="vec_id", vector="embedding", queries="id % 50 = 0").collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 256 * 512), (0, 2, 2, -256 * 256)]
     assert top_k_inner_product(rows.limit(0), id="vec_id", vector="embedding", queries="true").count() == 0
-    twice = spark.createDataFrame([(0, [1.0]), (0, [2.0])], "vec_id long, embedding array<float>")
-    with pytest.raises(Exception, match="several vectors"):
-        top_k_inner_product(twice, id="vec_id", vector="embedding", queries="true").collect()
+
+
+def test_several_vectors_of_an_id_lengths_and_large_scores(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 1.0]), (2, [1e300, 1e308]), (3, [-1e300, 5.0]), (4, [1e9, 0.5]), (5, [1.0]), (6, [1.0, 2.0, 3.0]), (7, [1e8, 1e8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k_inner_product(df, id="vec_id", vector="embedding", queries="id in (0, 2, 4)", k=3).orderBy("query_id", "rank").collect()]
+    top, of = 2**63 - 1, lambda x: int(np.floor(256 * x))
+    assert got == [
+        (0, 1, 2, top), (0, 2, 4, 256 * of(1e9)), (0, 3, 7, 256 * of(1e8)),
+        (2, 1, 0, top), (2, 2, 1, top), (2, 3, 4, top),
+        (4, 1, 2, top), (4, 2, 7, min(top, of(1e9) * of(1e8) + 128 * of(1e8))), (4, 3, 1, of(1e9) * 768 + 128 * 256),
+    ]
 
 
 def test_boxes_are_tight_and_visits_are_few():
