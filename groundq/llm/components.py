@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.shared import dropped, written
+from groundq.llm.shared import dropped, joined, written
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -60,3 +60,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     out = members.union(table.select("b", "b").distinct())
     out._groundq_path = table._groundq_path  # so that `dropped` can take its table away
     return out
+
+
+def named_by_least(members: DataFrame, names: DataFrame) -> DataFrame:
+    """(rep, c): for each member (id, component) the smallest least_id of its component. names: rep, least_id, one row each."""
+    some = written(members.withColumnRenamed("id", "rep").join(names.select("rep", "least_id"), "rep"), "component-members")
+    least = some.groupBy("component").agg(F.min("least_id").alias("c"), F.count("*").alias("size"))
+    return joined(some.select("rep", "component"), least, "component", "size", some.count()).select("rep", "c")

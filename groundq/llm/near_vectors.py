@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.components import connected_components, roots
-from groundq.llm.shared import dropped, written
+from groundq.llm.candidates import ROWS, STARS, candidate_rows, chunked, gathered, meetings, seen_before, stars
+from groundq.llm.components import connected_components, named_by_least
+from groundq.llm.shared import dropped, joined, written
 from groundq.llm.streams import runs
-from groundq.llm.vectors import usable
+from groundq.llm.vectors import common_length, usable
 from groundq.shipping import ship
 
 #: Rows of a filter that one task compares with each other; larger filters are compared chunk by chunk.
 CHUNK = 1024
 #: Random pairs of the least cosine that a code's recall is measured on, and the codes beyond which the recall counts as out of reach.
 PAIRS, MOST_CODES = 4000, 256
+#: Signs of random projections that stand for a vector until it is compared exactly.
+SIGNS = 128
 
 
 def cap_height(dims: int, rate: float) -> float:
@@ -50,7 +53,7 @@ class CapCode:
     given cosine a share of `recall` meets.
     """
 
-    def __init__(self, dims: int, n: int, *, cosine: float = 0.9, recall: float = 0.96, codes: int = 4, passes: float = 9.0, bucket: float = 48.0, seed: int = 7):
+    def __init__(self, dims: int, n: int, *, cosine: float = 0.9, recall: float = 0.96, codes: int = 4, passes: float = 1.0, bucket: float = 256.0, seed: int = 7):
         rng = np.random.default_rng(seed)
         rate = min(0.2, bucket / max(n, 1))
         self.threshold = cap_height(dims, rate)
@@ -106,54 +109,62 @@ def _unpacked(column, kind: str) -> np.ndarray:
     return _units(np.stack([np.frombuffer(v, kind) for v in column]))
 
 
-def _early_meeting(filters: list[np.ndarray], this: int) -> np.ndarray:
-    """(member, member): whether the two share a filter before `this`. Each list is sorted."""
-    early = [f[: np.searchsorted(f, this)] for f in filters]
-    distinct, at = np.unique(np.concatenate(early), return_inverse=True)
-    holds = np.zeros((len(early), len(distinct)), "f4")
-    holds[np.repeat(np.arange(len(early)), [len(e) for e in early]), at] = 1
-    return holds @ holds.T > 0
+def sign_limit(cosine: float) -> int:
+    """How many signs may differ in a pair of this cosine: the mean and four and a half standard deviations more."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(SIGNS * p + 4.5 * math.sqrt(SIGNS * p * (1 - p)))
 
 
-def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: float = 0.9, seed: int = 7, **code) -> DataFrame:
+def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: float = 0.9, recall: float = 0.96, seed: int = 7, **code) -> DataFrame:
     """Links of cosine or more, as counts and components.
 
     Equal unit vectors become one representative with a weight. Each representative is list-decoded to all cap filters that it exceeds
-    (CapCode, sized by the number of representatives and the cosine); filters are the join key. Within a filter, chunk against chunk of at most CHUNK
-    rows, exact cosines in double precision are computed; a pair counts only in the smallest filter that it shares, so no pair counts
-    twice and no pairs are written: a task returns for each representative its links and one edge to its component within the chunk.
-    A pair of the given cosine shares some filter with a probability of over 0.95, whatever the number of vectors (codes are added until
-    0.96 of random pairs do); none below it is linked.
-
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing: no links, their own component.
-    id must be a long. Rows with a null id come back as they are, with no links and a null component; rows that repeat an id and a
-    vector count as one vector of that id, and each comes back. Rows with one id and different vectors share the sums of their links.
-    Other columns are dropped, so clashing names do no harm. Result: id, n_links, component_id, kept (the id is its component's).
+    (CapCode, sized by the number of representatives, the cosine and the recall); filters are the join key. What joins is a
+    representative's number and 128 signs of random projections. Within a filter, chunk against chunk of at most CHUNK rows, pairs whose
+    signs differ in no more places than sign_limit are candidates; then the vectors of the members that have any come in, once a task, and exact
+    cosines in double precision decide. A pair counts only in the smallest filter that it shares, so no pair counts twice, and
+    no pairs are written: a task returns for each representative its links and one edge to its component within the task.
+
+    A pair of the given cosine is found with a probability of about `recall`, whatever the number of vectors: codes are added until so many
+    random pairs meet. Pairs of a higher cosine are found more often; none below it is linked.
+
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing: no links, their own component. So do vectors
+    of another length than the table's most frequent one (of equally frequent ones the shortest). id must be a long. Rows with a null id come
+    back as they are, with no links and a null component; rows that repeat an id and a vector count as one vector of that id, and each
+    comes back. Rows with one id and different vectors share the sums of their links. Other columns are dropped, so clashing names do no
+    harm. An empty table gives an empty result. Result: id, n_links, component_id, kept (the id is its component's).
     """
-    ship(rows.sparkSession)
-    first = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.size(vector)).first()
-    given = rows.select(F.col(id).cast("long").alias("id"))
-    if first is None:
-        return given.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    dims = int(first[0])
+    spark = rows.sparkSession
+    ship(spark)
     kind = "f4" if "float" in dict(rows.dtypes)[vector] else "f8"
 
-    def unit_rows(batches):
-        for batch in batches:
-            at, x = usable(batch.column("v"))
-            some = np.abs(x).max(axis=1, initial=0) > 0
-            at, x = at[some], x[some]
-            digests = [hashlib.sha256(u.tobytes()).digest() for u in _units(x)] if len(x) else []
-            packed = [v.tobytes() for v in x.astype(kind)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["id", "key", "packed"])
+    def unit_rows(packed: bool):
+        def unit(batches):
+            for batch in batches:
+                for at, x in usable(batch.column("v")):
+                    some = np.abs(x).max(axis=1) > 0
+                    at, x = at[some], x[some]
+                    keys = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in _units(x)] if len(x) else []
+                    last = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()) if packed else pa.array(np.full(len(x), x.shape[1]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(keys, pa.binary()), last], ["id", "key", "packed" if packed else "dims"])
+
+        return unit
 
+    given = rows.select(F.col(id).cast("long").alias("id"))
     some = rows.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
-    units = written(some.mapInArrow(unit_rows, "id long, key binary, packed binary").distinct(), "units")
-    # the representative of copies is the smallest id with their unit vector; the sums combine before the shuffle
-    groups = units.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min("packed").alias("packed"))
-    groups = written(groups, "vector-groups")
+    units = written(some.mapInArrow(unit_rows(False), "id long, key binary, dims int"), "unit-keys")
+    dims = common_length(units, "dims")
+    known = units.where(F.col("dims") == dims).select("id", "key").distinct()
+    # the vector of copies, any of which has their unit vector; the sums combine before the shuffle
+    vectors = some.where(F.size("v") == dims).mapInArrow(unit_rows(True), "id long, key binary, packed binary").groupBy("key").agg(F.min("packed").alias("packed"))
+    groups = known.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("weight")).join(vectors, "key")
+    groups = written(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-groups")  # a number of its own for each, kept with the table
     n = groups.count()
-    caps = CapCode(dims, n, cosine=cosine, seed=seed, **code)
+    if not n:
+        return given.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    caps = CapCode(dims, n, cosine=cosine, recall=recall, seed=seed, **code)
+    shared = spark.sparkContext.broadcast(caps)  # codes x words x dimensions; words grow as the root of n
+    projections, differ = np.random.default_rng(seed + 2).standard_normal((dims, SIGNS)), sign_limit(cosine)
 
     def decoded(batches):
         for batch in batches:
@@ -161,61 +172,64 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
                 continue
             x = _unpacked(batch.column("packed").to_pylist(), kind)
             for lo in range(0, len(x), 512):
-                row, filters = caps.decode(x[lo : lo + 512])
+                part = x[lo : lo + 512]
+                row, filters = shared.value.decode(part)
+                signs = np.packbits(part @ projections > 0, axis=1).view("<i8")
                 order = np.lexsort((filters, row))
                 row, filters = row[order], filters[order]
-                ends = np.searchsorted(row, np.arange(len(x[lo : lo + 512]) + 1))
-                lists = [filters[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-                part = batch.slice(lo, len(lists))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), part.column("packed"), pa.array(lists, pa.list_(pa.int64()))], ["rep", "weight", "packed", "filters"])
-
-    listed = written(groups.select("rep", "weight", "packed").mapInArrow(decoded, "rep long, weight long, packed binary, filters array<long>"), "filters")
-    members = listed.select("rep", F.explode("filters").alias("filter"))
-    sizes = members.groupBy("filter").agg(F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    met = members.join(sizes, "filter").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    # each chunk meets every chunk from itself on: it goes to the tasks (own, other) and (other, own)
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "rep", "filter", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
-    )
-    tasks = met.join(listed, "rep").repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi", "rep")
+                rep = batch.column("rep").to_numpy()[lo : lo + 512]
+                yield pa.RecordBatch.from_arrays([pa.array(filters), pa.array(rep[row]), pa.array(signs[row, 0]), pa.array(signs[row, 1])], ["filter", "rep", "s", "t"])
+
+    members = written(groups.select("rep", "packed").mapInArrow(decoded, "filter long, rep long, s long, t long"), "filters")
+    sizes = members.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
+    met = chunked(joined(members, sizes, "filter", "n", members.count(), CHUNK), CHUNK)
+    tasks = met.repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi", "rep")
 
-    def compare(batches):
+    def alike(batches):
         for block, starts in runs(batches, ("filter", "lo", "hi")):
-            x = _unpacked(block.column("packed").to_pylist(), kind)
-            reps, weights, chunks, highs, names = (block.column(c).to_numpy() for c in ("rep", "weight", "chunk", "hi", "filter"))
-            lists, counts = block.column("filters").flatten().to_numpy(), block.column("filters").value_lengths().to_numpy()
-            ends = np.cumsum(counts)
-            out = []
-            for a, b in zip(starts, starts[1:], strict=False):
-                left, right = x[a:b], x[a:b]
-                same = chunks[a:b] == highs[a]
-                if not same.all():  # two chunks: pairs within one of them have a task of their own
-                    left, right = left[~same], right[same]
-                    i, j = np.nonzero(left @ right.T >= cosine)
-                    i, j = np.flatnonzero(~same)[i], np.flatnonzero(same)[j]
+            signs = [block.column(c).to_numpy().view("u8") for c in ("s", "t")]
+
+            def pairs_of(a, b, same, signs=signs):
+                own = [s[a:b] for s in signs]
+                return meetings(same, lambda rows, columns: sum(np.bitwise_count(s[rows][:, None] ^ s[columns]) for s in own) <= differ)
+
+            if (out := candidate_rows(block, starts, "filter", pairs_of)) is not None:
+                yield out
+
+    candidates = written(tasks.mapInArrow(alike, ROWS), "vector-candidates")
+    dropped(members)
+
+    def exact(batches):
+        def linked(part, i, j):
+            x, good = _unpacked(part.column("packed").to_pylist(), kind), np.zeros(len(i), bool)
+            for lo in range(0, len(x), 256):  # the marked pairs of 256 members at a time
+                a, b = np.searchsorted(i, (lo, lo + 256))
+                if (b - a) * 8 > 256 * len(x):
+                    good[a:b] = (x[lo : lo + 256] @ x.T)[i[a:b] - lo, j[a:b]] >= cosine
                 else:
-                    i, j = np.nonzero(left @ right.T >= cosine)
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                touched, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-                i, j = at[: len(i)], at[len(i) :]
-                seen = _early_meeting([lists[ends[a + t] - counts[a + t] : ends[a + t]] for t in touched], names[a])
-                i, j = (i[~seen[i, j]], j[~seen[i, j]])
-                weight, links = weights[a:b][touched], np.zeros(len(touched), "i8")
-                np.add.at(links, i, weight[j])
-                np.add.at(links, j, weight[i])
-                rep, label, some = reps[a:b][touched], roots(len(touched), i, j), np.flatnonzero(links)
-                out.append((rep[some], links[some], rep[label[some]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
-
-    found = written(tasks.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
-    dropped(listed)
+                    for at in range(a, b, 4096):
+                        to = min(at + 4096, b)
+                        good[at:to] = np.einsum("ij,ij->i", x[i[at:to]], x[j[at:to]]) >= cosine
+            if good.any():
+                touched = np.unique(np.concatenate([i[good], j[good]]))
+                row, filters = shared.value.decode(x[touched])
+                order = np.lexsort((filters, row))
+                lists = np.split(filters[order], np.searchsorted(row[order], np.arange(1, len(touched))))
+                place = np.searchsorted(touched, np.arange(len(x)))
+                seen = seen_before(lists, part.column("key")[0].as_py())
+                good[good] = ~seen[place[i[good]], place[j[good]]]
+            return good
+
+        yield from stars(batches, linked)
+
+    found = written(gathered(candidates, groups.select("rep", "weight", "packed")).mapInArrow(exact, STARS), "vector-links")
+    dropped(candidates)
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    sums = groups.select("key", "rep", "weight").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(parts, F.col("rep") == F.col("id"), "left")
-    sums = sums.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    per_id = units.select("id", "key").join(sums, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
+    # components so far are named by numbers of representatives; their smallest id names them from here on
+    named = named_by_least(parts, groups)
+    sums = groups.select("key", "rep", "least_id", "weight").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(named, "rep", "left")
+    sums = sums.select("key", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least_id").alias("c"))
+    per_id = joined(known, sums, "key", "weight", units.count()).groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
     out = given.join(per_id, "id", "left").select(
         F.col("id").alias(id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")
     )

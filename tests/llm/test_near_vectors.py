@@ -30,10 +30,14 @@ def test_against_brute_force(spark):
         step = step + 0.04 * rng.standard_normal(64)
         step /= np.linalg.norm(step)
         vectors[300 + i] = step
+    for i in range(60):  # just below and just above the threshold
+        other = rng.standard_normal(64)
+        other -= other @ base[40] / (base[40] @ base[40]) * base[40]
+        vectors[400 + i] = base[40] / np.linalg.norm(base[40]) * (c := 0.9 + (i - 20) / 2000) + other / np.linalg.norm(other) * np.sqrt(1 - c * c)
     rows = [(int(i), [float(x) for x in v], "clash") for i, v in vectors.items()]
-    odd = [(901, None, "x"), (902, [0.0] * 64, "x"), (903, [float("nan")] * 64, "x"), (904, [None] + [1.0] * 63, "x"), (905, [], "x"), (906, [float("inf")] * 64, "x")]
+    odd = [(907, [1.0, 2.0], "x"), (908, [1.0, 2.0], "x"), (909, [1.0] * 65, "x"), (901, None, "x"), (902, [0.0] * 64, "x"), (903, [float("nan")] * 64, "x"), (904, [None] + [1.0] * 63, "x"), (905, [], "x"), (906, [float("inf")] * 64, "x")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, component_id string").repartition(5)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, id="vec_id", vector="embedding").collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, id="vec_id", vector="embedding", recall=0.9999).collect()}
     assert got == brute(vectors, 0.9) | {i: (0, i, True) for i, *_ in odd}
 
 
