@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundq.llm.components import connected_components, roots
-from groundq.llm.shared import dropped, written
+from groundq.llm.candidates import ROWS, STARS, candidate_rows, chunked, gathered, meetings, seen_before, stars
+from groundq.llm.components import connected_components, named_by_least
+from groundq.llm.shared import dropped, joined, written
 from groundq.llm.streams import runs
 from groundq.llm.texts import BASE, Words, mixed, text_blocks
 from groundq.shipping import ship
@@ -25,9 +26,7 @@ SMALL = 256
 #: Splits of one run; what is still together then, or did not shrink, is compared.
 DEPTH = 6
 #: Rows that a task compares with each other; larger buckets are compared chunk by chunk.
-CHUNK = 1024
-#: The same for whole shingle sets.
-SET_CHUNK = 256
+CHUNK = 512
 
 _MULTIPLIERS = mixed(np.arange(1, TOKENS + 1, dtype="u8") * np.uint64(BASE)) | np.uint64(1)
 
@@ -61,67 +60,32 @@ def _unpacked(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _chunked(members: DataFrame, key: str, chunk: int) -> DataFrame:
-    """Each member once for every pair of chunks of its group that its own belongs to: columns lo, hi and chunk."""
-    sizes = members.groupBy(key).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    dealt = members.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    return dealt.withColumn("other", other).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("chunks", "other")
-
-
-def _pairs(same: np.ndarray, meets) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i before j, that meet: within the one chunk, or across the two. meets(rows, columns) gives their matrix."""
-    if same.all():
-        i, j = np.nonzero(meets(slice(None), slice(None)))
-        return i[i < j], j[i < j]
-    left, right = np.flatnonzero(~same), np.flatnonzero(same)
-    i, j = np.nonzero(meets(left, right))
-    return np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
-
-
-def _stars(block: pa.RecordBatch, starts: np.ndarray, links_of) -> pa.RecordBatch | None:
-    """For each group of the block: members with links, the sum of their partners' weights, and the first member that they lead to."""
-    reps, weights, chunks, highs = (block.column(c).to_numpy() for c in ("rep", "weight", "chunk", "hi"))
-    out = []
-    for a, b in zip(starts, starts[1:], strict=False):
-        i, j = links_of(a, b, chunks[a:b] == highs[a])
-        if len(i):
-            touched, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-            i, j = at[: len(i)], at[len(i) :]
-            weight, links = weights[a:b][touched], np.zeros(len(touched), "i8")
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            rep = reps[a:b][touched]
-            out.append((rep, links, rep[roots(len(touched), i, j)]))
-    if not out:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
-
-
-STARS = "rep long, links long, root long"
-
-
-def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5, jaccard: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """Texts whose sets of `width`-word shingles have a Jaccard similarity of `jaccard` or more: links counted, and components.
-
-    Words are those of texts.Words; a text of fewer words has one shingle of them all, a text without words has none and links with
-    nothing, as does a null text. Texts of one shingle set form a class, which its smallest id represents with a weight.
-
-    Candidates: each set is embedded as TOKENS MinHash tokens. In each run a bucket of sets is split on tokens that a hash of the path and
-    the token chooses, about BRANCHES of each set's, so that sets that share a chosen token go on together. Buckets of at most SMALL
-    sets, those that a split left over half as large as they were, and those at DEPTH are compared by their sketches; the runs are as
-    many as the recall asks (runs_for). Sets whose sketches agree to `jaccard` less five standard deviations, and whose sizes allow it,
-    are joined into candidate groups. Within each group every pair of whole shingle sets is compared exactly, chunk against chunk, each
-    pair once: no pairs are written, a task returns each set's links and one edge. No bucket, group or partner is capped.
-
-    Rows that repeat an id and a set count as one text; an id with several texts gets the sum of their links and the smallest component.
-    Rows with a null id come back with no links and a null component. Other columns are dropped, so clashing names do no harm. An empty
-    table gives an empty result. Result: id, n_links (other texts linked, copies included), component_id (the smallest id that links lead
-    to), kept (the id is its component's), class_id (the smallest id of the same set; its own for a text that links with nothing).
-    """
-    ship(docs.sparkSession)
-    given = docs.select(F.col(id).cast("long").alias("id"))
-    texts = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+def common_sizes(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets i and j, each ascending, share. Many pairs are counted by products, few of them one by one."""
+    if len(i) * 16 < len(sets) ** 2:
+        out = np.empty(len(i), "i8")
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            both = np.sort(np.concatenate([sets[a], sets[b]]))
+            out[k] = np.count_nonzero(both[1:] == both[:-1])
+        return out
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, held = np.unique(values, return_inverse=True, return_counts=True)
+    shared = held[place] > 1
+    order = np.argsort(place[shared], kind="stable")
+    owner, place = owner[shared][order], place[shared][order]
+    common, lo = np.zeros((len(sets), len(sets))), 0
+    while lo < len(place):  # some thousand elements at a time, those of one value together
+        hi = np.searchsorted(place, place[lo] + 4096)
+        names, column_at = np.unique(place[lo:hi], return_inverse=True)
+        holds = np.zeros((len(sets), len(names)), "f4")
+        holds[owner[lo:hi], column_at] = 1
+        common += holds @ holds.T
+        lo = hi
+    return common[i, j].round().astype("i8")
+
+
+def _sketched(texts: DataFrame, width: int) -> DataFrame:
+    """(id, key, size, sketch) of every text with words: a digest of its shingle set, how many shingles it has, and their MinHash values."""
 
     def sketched(batches):
         for batch in batches:
@@ -138,11 +102,11 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), sizes, pa.array(packed, pa.binary())], ["id", "key", "size", "sketch"])
 
-    units = written(texts.mapInArrow(sketched, "id long, key binary, size long, sketch binary"), "shingle-sketches")
-    classes = units.select("id", "key").distinct().groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    # one row of each set's equal sketches; an id with several sets may represent each, told apart by set
-    sets = units.groupBy("key").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(classes, "key")
-    sets = written(sets.select(F.xxhash64("key").alias("rep"), "key", F.col("rep").alias("least_id"), "weight", "size", "sketch"), "shingle-sets")
+    return texts.mapInArrow(sketched, "id long, key binary, size long, sketch binary")
+
+
+def _buckets(sets: DataFrame, times: int) -> DataFrame:
+    """(path, rep, n) of the buckets that are to be compared, n their size: split on chosen tokens until they are small or do not shrink."""
 
     def first_paths(batches):
         for batch in batches:
@@ -161,17 +125,16 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), pa.array(path.view("i8")), batch.column("n").take(at)], ["rep", "path", "above"])
 
-    times, level = runs_for(recall, jaccard), "rep long, path long, above long"
-    at = sets.select("rep", "sketch").mapInArrow(first_paths, level)
-    ready, buckets = [], []
+    level = "rep long, path long, above long"
+    at, ready, tables = sets.select("rep", "sketch").mapInArrow(first_paths, level), [], []
     for depth in range(1, DEPTH + 1):
-        at = written(at.distinct(), "paths")
+        at = written(at, "paths")
         sizes = at.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        met = written(at.join(sizes, "path"), "buckets")
+        met = written(joined(at, sizes, "path", "n", at.count(), SMALL), "buckets")
         dropped(at)
-        buckets.append(met)
+        tables.append(met)
         done = (F.col("n") <= SMALL) | ((F.col("above") > 0) & (F.col("n") * 2 > F.col("above"))) | F.lit(depth == DEPTH)
-        ready.append(met.where(done).select("path", "rep"))
+        ready.append(met.where(done).select("path", "rep", "n"))
         going = met.where(~done)
         if going.isEmpty():
             break
@@ -179,16 +142,33 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
     together = ready[0]
     for more in ready[1:]:
         together = together.union(more)
-    tasks = _chunked(together, "path", CHUNK).join(sets.select("rep", "weight", "size", "sketch"), "rep")
-    tasks = tasks.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep")
+    out = written(together, "ready-buckets")
+    dropped(*tables)
+    return out
+
+
+def candidates_of(sets: DataFrame, jaccard: float, recall: float) -> DataFrame:
+    """Rows of candidates.ROWS for sets (rep, size, sketch) that share a bucket, whose sketches agree and whose sizes allow the similarity.
+
+    A pair is a candidate only in the smallest bucket that it shares, so it is compared exactly once.
+    """
+    ready = _buckets(sets, runs_for(recall, jaccard))
+    own = ready.groupBy("rep").agg(F.collect_list(F.struct("path", "n")).alias("own"))  # a few dozen buckets a set
+    # half of each token's bits tell tokens apart well enough: what agrees by chance is found out later
+    short = F.unhex(F.regexp_replace(F.hex("sketch"), "(....)....", "$1"))
+    placed = own.join(sets.select("rep", "size", short.alias("sketch")), "rep")
+    placed = placed.select("rep", "size", "sketch", F.sort_array("own.path").alias("paths"), F.inline("own"))
+    tasks = chunked(placed, CHUNK).repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep")
     agree = math.floor(TOKENS * jaccard - 5 * math.sqrt(TOKENS * jaccard * (1 - jaccard)))
 
     def alike(batches):
         for block, starts in runs(batches, ("path", "lo", "hi")):
-            sketch, size = _unpacked(block.column("sketch"), "u4"), block.column("size").to_numpy().astype("f8")
+            sketch, size = _unpacked(block.column("sketch"), "u2"), block.column("size").to_numpy()
+            paths, counts = block.column("paths").flatten().to_numpy(), block.column("paths").value_lengths().to_numpy()
+            ends, names = np.cumsum(counts), block.column("path").to_numpy()
 
-            def links_of(a, b, same, sketch=sketch, size=size):
-                s, n = sketch[a:b], size[a:b]
+            def pairs_of(a, b, same, sketch=sketch, size=size, paths=paths, counts=counts, ends=ends, names=names):
+                s, n = sketch[a:b], size[a:b].astype("f8")
 
                 def meets(rows, columns):
                     equal = np.zeros((len(n[rows]), len(n[columns])), "u1")
@@ -197,15 +177,51 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
                     low, high = np.minimum(n[rows][:, None], n[columns]), np.maximum(n[rows][:, None], n[columns])
                     return (equal >= agree) & (low >= jaccard * high - 1e-9)
 
-                return _pairs(same, meets)
+                i, j = meetings(same, meets)
+                if len(i):
+                    touched, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    seen = seen_before([paths[ends[a + t] - counts[a + t] : ends[a + t]] for t in touched], names[a])
+                    new = ~seen[at[: len(i)], at[len(i) :]]
+                    i, j = i[new], j[new]
+                return i, j
 
-            if (out := _stars(block, starts, links_of)) is not None:
+            if (out := candidate_rows(block, starts, "path", pairs_of, size * 8)) is not None:
                 yield out
 
-    candidates = written(tasks.mapInArrow(alike, STARS), "alike")
-    groups = connected_components(candidates.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    members = written(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(sets.select("rep", "least_id", "key", "weight"), "rep"), "candidate-groups")
-    dropped(candidates, groups, *buckets)
+    out = written(tasks.mapInArrow(alike, ROWS), "text-candidates")
+    dropped(ready)
+    return out
+
+
+def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5, jaccard: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """Texts whose sets of `width`-word shingles have a Jaccard similarity of `jaccard` or more: links counted, and components.
+
+    Words are those of texts.Words; a text of fewer words has one shingle of them all, a text without words has none and links with
+    nothing, as does a null text. Texts of one shingle set form a class, which its smallest id represents with a weight.
+
+    Candidates: each set is embedded as TOKENS MinHash tokens. In each run a bucket of sets is split on tokens that a hash of the path and
+    the token chooses, about BRANCHES of each set's, so that sets that share a chosen token go on together. Buckets of at most SMALL
+    sets, those that a split left over half as large as they were, and those at DEPTH are compared by their sketches, chunk against chunk; the
+    runs are as many as the recall asks (runs_for). Pairs whose sketches agree to `jaccard` less five standard deviations, and whose
+    sizes allow it, are candidates, each in the smallest bucket that it shares. Then the whole shingle sets of a bucket's candidates come
+    in and every candidate pair is compared exactly, once: no pairs are written, a task returns each set's links and one edge. No
+    bucket, group or partner is capped, and texts that are linked only through others are never compared with each other.
+
+    Rows that repeat an id and a set count as one text; an id with several texts gets the sum of their links and the smallest component.
+    Rows with a null id come back with no links and a null component. Other columns are dropped, so clashing names do no harm. An empty
+    table gives an empty result. Result: id, n_links (other texts linked, copies included), component_id (the smallest id that links lead
+    to), kept (the id is its component's), class_id (the smallest id of the same set; its own for a text that links with nothing).
+    """
+    ship(docs.sparkSession)
+    given = docs.select(F.col(id).cast("long").alias("id"))
+    texts = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    units = written(_sketched(texts, width), "shingle-sketches")
+    known = units.select("id", "key").distinct()
+    classes = known.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("weight"))
+    # one row of each set's equal sketches, with a number of its own that is kept with the table
+    sets = units.groupBy("key").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(classes, "key")
+    sets = written(sets.withColumn("rep", F.monotonically_increasing_id()), "shingle-sets")
+    candidates = candidates_of(sets, jaccard, recall)
 
     def whole(batches):
         for batch in batches:
@@ -216,50 +232,28 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in packed], pa.binary())], ["key", "shingles"])
 
+    members = written(candidates.select("rep").distinct().join(sets.select("rep", "least_id", "key", "weight"), "rep"), "candidate-sets")
     own = members.select(F.col("least_id").alias("id")).distinct()
     found = texts.join(own, "id", "left_semi").mapInArrow(whole, "key binary, shingles binary").dropDuplicates(["key"])
-    found = written(found.join(members, "key").select("rep", "shingles"), "whole-sets")
-    tasks = _chunked(members.select("rep", "grp", "weight"), "grp", SET_CHUNK).join(found, "rep")
-    tasks = tasks.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
+    found = written(found.join(members, "key").select("rep", "weight", "shingles"), "whole-sets")
 
     def exact(batches):
-        for block, starts in runs(batches, ("grp", "lo", "hi")):
-            column = block.column("shingles")
-
-            def links_of(a, b, same, column=column):
-                each = [np.frombuffer(column[k].as_py(), "u8") for k in range(a, b)]
-                size = np.array([len(s) for s in each], "f8")
-                values, owner = np.concatenate(each), np.repeat(np.arange(len(each)), size.astype(int))
-                distinct, place, held = np.unique(values, return_inverse=True, return_counts=True)
-                shared = held[place] > 1
-                order = np.argsort(place[shared], kind="stable")
-                owner, place = owner[shared][order], place[shared][order]
-                common = np.zeros((len(each), len(each)), "f4")
-                lo = 0
-                while lo < len(place):  # some thousand shingles at a time, those of one value together
-                    hi = np.searchsorted(place, place[lo] + 4096)
-                    names, column_at = np.unique(place[lo:hi], return_inverse=True)
-                    holds = np.zeros((len(each), len(names)), "f4")
-                    holds[owner[lo:hi], column_at] = 1
-                    common += holds @ holds.T
-                    lo = hi
-                meets = common >= jaccard * (size[:, None] + size - common) - 1e-6
-                return _pairs(same, lambda rows, columns: meets[rows][:, columns])
-
-            if (out := _stars(block, starts, links_of)) is not None:
-                yield out
+        def linked(part, i, j):
+            sets = [np.frombuffer(s, "u8") for s in part.column("shingles").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            common = common_sizes(sets, i, j)
+            return common >= jaccard * (size[i] + size[j] - common) - 1e-9
+
+        yield from stars(batches, linked)
 
-    links = written(tasks.mapInArrow(exact, STARS), "set-links")
-    dropped(found, members)
-    parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    # components so far are named by hashes of sets; their smallest id names them from here on
-    parts = parts.select(F.col("id").alias("rep"), "component").join(sets.select("rep", "least_id"), "rep")
-    names = parts.groupBy("component").agg(F.min("least_id").alias("c"))
-    named = parts.join(names, "component").select("rep", "c")
+    links = written(gathered(candidates, found).mapInArrow(exact, STARS), "set-links")
+    dropped(found, members, candidates)
+    named = named_by_least(connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))), sets)
     sums = links.groupBy("rep").agg(F.sum("links").alias("links"))
     per_set = sets.select("key", "rep", "least_id", "weight").join(sums, "rep", "left").join(named, "rep", "left")
-    per_set = per_set.select("key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least_id").alias("c"))
-    per_id = units.select("id", "key").distinct().join(per_set, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"), F.min("least_id").alias("k"))
+    per_set = per_set.select("key", "weight", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least_id").alias("c"))
+    each = joined(known, per_set, "key", "weight", units.count())
+    per_id = each.groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"), F.min("least_id").alias("k"))
     kept = F.coalesce("c", "id").eqNullSafe(F.col("id")) & F.col("id").isNotNull()
     return given.join(per_id, "id", "left").select(
         F.col("id").alias(id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"), kept.alias("kept"), F.coalesce("k", "id").alias("class_id")
@@ -269,10 +263,13 @@ def near_duplicate_texts(docs: DataFrame, *, id: str, text: str, width: int = 5,
 def keep_one(docs: DataFrame, *, id: str, text: str, **how) -> DataFrame:
     """The rows of docs, all columns, without those whose near-duplicate group keeps another id, and without repeated (id, text) rows.
 
-    Rows with a null id, a null text or no words link with nothing and stay; of repeated ones with an id, one stays.
+    Rows with a null id, a null text or no words link with nothing and stay; of repeated ones with an id, one stays: that whose other
+    columns come first as JSON. Columns may have any names: each row travels under a single one.
     """
     found = near_duplicate_texts(docs, id=id, text=text, **how)
-    decided = found.groupBy(F.col(id).alias("_id")).agg(F.bool_or("kept").alias("_kept"), (F.count("*") > 1).alias("_again")).where("_id IS NOT NULL AND (NOT _kept OR _again)")
-    joined = docs.join(written(decided, "decisions"), docs[id] == F.col("_id"), "left").where(F.coalesce("_kept", F.lit(True)))
-    once = joined.where(F.coalesce("_again", F.lit(False))).dropDuplicates([id, text])
-    return joined.where(~F.coalesce("_again", F.lit(False))).union(once).drop("_id", "_kept", "_again")
+    decided = found.groupBy(F.col(id).alias("id")).agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("again")).where("id IS NOT NULL AND (NOT kept OR again)")
+    rows = docs.select(F.struct("*").alias("row"))
+    joined_rows = rows.join(written(decided, "decisions"), rows["row"][id] == F.col("id"), "left").where(F.coalesce("kept", F.lit(True)))
+    again = F.coalesce("again", F.lit(False))
+    once = joined_rows.where(again).groupBy("id", F.col("row")[text].alias("text")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return joined_rows.where(~again).select("row.*").unionByName(once.select("row.*"))

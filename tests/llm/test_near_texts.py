@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from groundq.llm.near_texts import TOKENS, chosen, keep_one, near_duplicate_texts, runs_for
+from groundq.llm.near_texts import TOKENS, candidates_of, chosen, common_sizes, keep_one, near_duplicate_texts, runs_for
 from groundq.llm.texts import Words, word_hash
 
 
@@ -59,10 +60,10 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_splits_and_chunks_give_the_same(spark, monkeypatch):
-    from groundq.llm import near_texts
+    from groundq.llm import candidates, near_texts
 
-    for name, value in (("SMALL", 4), ("CHUNK", 7), ("SET_CHUNK", 5)):
-        monkeypatch.setattr(near_texts, name, value)
+    for module, name, value in ((near_texts, "SMALL", 4), (near_texts, "CHUNK", 7), (candidates, "PART_BYTES", 4096)):
+        monkeypatch.setattr(module, name, value)
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_texts(df, id="doc_id", text="text").collect()}
@@ -92,6 +93,54 @@ def test_recall_of_the_paths():
     assert met.mean() >= 0.995
 
 
+def test_recall_of_whole_runs(spark, monkeypatch):
+    """Pairs just above the threshold, in buckets that are split down to the last level, against exact similarities."""
+    from groundq.llm import near_texts
+
+    monkeypatch.setattr(near_texts, "SMALL", 2)
+    rng, texts, wanted = random.Random(3), {}, 0
+    for k in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(len(words)), rng.choice([3, 4])):
+            other[at] = f"v{rng.randrange(10**6)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(other)
+        wanted += len(a & b) >= 0.8 * len(a | b)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = near_duplicate_texts(df, id="doc_id", text="text").where("n_links > 0").count()
+    assert wanted > 1000 and found >= 2 * 0.99 * wanted
+
+
+def test_a_chain_of_boilerplate_is_compared_along_itself(spark):
+    """Each text shares two thirds of its shingles with the next one; all are connected, yet the pairs compared stay a few a text."""
+    from groundq.llm.near_texts import _sketched
+
+    n, words = 20_000, 60
+    stream = [f"b{i}" for i in range(n * 11 + words)]
+    df = spark.createDataFrame([(i, " ".join(stream[i * 11 : i * 11 + words])) for i in range(n)], "id long, text string").repartition(4)
+    sets = _sketched(df, 5).select(F.col("id").alias("rep"), "size", "sketch")
+    pairs = sum(int.from_bytes(r.mates, "big").bit_count() for r in candidates_of(sets, 0.8, 0.995).collect())
+    assert 0 < pairs < 3 * n
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c", 5, 1, 2), (1, "a b c", 4, 1, 2), (2, "a b c", 3, 1, 2), (3, "x", 2, 1, 2), (None, "x", 1, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int, again int, id int")
+    got = keep_one(df, id="doc_id", text="text")
+    assert got.columns == df.columns and sorted(tuple(r)[0] or 0 for r in got.collect()) == [0, 1, 3]
+    assert [r["kept"] for r in got.where("doc_id = 1").collect()] == [4]
+
+
+def test_common_sizes():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype("u8")) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    assert common_sizes(sets, i, j).tolist() == want
+    assert common_sizes(sets, i[:5], j[:5]).tolist() == want[:5]
+
+
 def test_words():
     w = Words(["Hello, wörld HELLO", "", "x", "ÉX-1"])
     assert w.first.tolist() == [0, 3, 3, 4, 6] and w.hashes[0] == w.hashes[2] == word_hash("hello")
