@@ -7,10 +7,6 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
-#: Rows of the mean that a calibrated value counts beside its own: a few rows alone prove little.
-PRIOR = 4.0
-
-
 @dataclass
 class Trees:
     """edges: bin borders of each feature; each tree is arrays of (feature, bin, left, right, value) by node."""
@@ -79,8 +75,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3,
 
 
 def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: ascending scores and the probabilities there, each drawn to the mean as by PRIOR more rows of it."""
-    base = float(y.mean()) if len(y) else 0.0
+    """Pool-adjacent-violators: ascending scores and the probabilities there, the means of the pooled rows."""
     order = np.argsort(score, kind="stable")
     means, sizes, firsts, lasts = [], [], [], []
     for s, v in zip(score[order], y[order], strict=True):
@@ -95,11 +90,10 @@ def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
             for column in (means, sizes, firsts, lasts):
                 column.pop()
     at, value = [], []
-    for m, n, a, z in zip(means, sizes, firsts, lasts, strict=True):
-        m = (m * n + base * PRIOR) / (n + PRIOR)
+    for m, a, z in zip(means, firsts, lasts, strict=True):
         at += [a, z] if z > a else [a]
         value += [m, m] if z > a else [m]
-    return np.array(at), np.maximum.accumulate(np.array(value)) if value else np.array(value)
+    return np.array(at), np.array(value)
 
 
 def calibrated(score: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:

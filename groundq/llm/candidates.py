@@ -35,8 +35,11 @@ def chunked(members: DataFrame, chunk: int) -> DataFrame:
 def meetings(same: np.ndarray, meets: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i before j, that meet: within the one chunk, or across the two. meets(rows, columns) gives their matrix."""
     if same.all():
-        i, j = np.nonzero(meets(slice(None), slice(None)))
-        return i[i < j], j[i < j]
+        out = []
+        for lo in range(0, len(same), 1024):
+            i, j = np.nonzero(meets(slice(lo, lo + 1024), slice(lo, None)))
+            out.append((i[i < j] + lo, j[i < j] + lo))
+        return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
     left, right = np.flatnonzero(~same), np.flatnonzero(same)
     i, j = np.nonzero(meets(left, right))
     return np.minimum(left[i], right[j]), np.maximum(left[i], right[j])

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundq.llm.texts import BASE, text_blocks, text_within
+from groundq.llm.texts import BASE, bounded_texts, text_blocks, text_within
 from groundq.shipping import ship
 
 #: Hashed n-grams; collisions share a weight.
 BITS = 18
 ORDERS = (1, 2, 3)
-#: The classifier is fitted on at most so many labelled texts: those of the smallest hashes of id. Document frequencies come from all.
+#: The classifier is fitted on at most so many labelled texts, dealt fairly to the languages. Document frequencies come from all.
 TRAIN_ROWS = 4000
+#: And on texts of so many bytes together.
+TRAIN_BYTES = 1 << 26
 
 
 #: Whether a code point of the first 65,536 is a letter.
@@ -103,7 +107,7 @@ def _rows(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def fit(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 3, seed: int = 3) -> Model:
+def fit(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.1, l2: float = 1e-3, epochs: int = 3, seed: int = 3) -> Model:
     """Follow-the-regularised-leader, per coordinate, with elastic-net penalties; every tenth text is left for the temperature."""
     classes = sorted(set(labels))
     order = np.random.default_rng(seed).permutation(len(texts))
@@ -134,18 +138,46 @@ def fit(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float =
     model = Model(classes, idf, leader(z, n), leader(zb, nb), 1.0)
     check = sorted(held) or list(range(len(texts)))
     if check:
-        logits, truth = model.scores([texts[i] for i in check])[0], y[check]
-        losses = []
-        for t in np.geomspace(0.05, 20, 61):
-            model.temperature = t
-            losses.append((-np.log(np.maximum(model.probabilities(logits)[np.arange(len(check)), truth], 1e-12)).mean(), t))
-        model.temperature = float(min(losses)[1])
+        model.temperature = fit_temperature(model.scores([texts[i] for i in check])[0], y[check])
     return model
 
 
-def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: str) -> Model | None:
-    """A model of the labelled rows' languages; None without any. Document frequencies are counted over all of texts."""
+def fit_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of the least log loss. The truth counts as one part in two more than there are rows unsure, so that it is finite even if all are right."""
+    n, k = logits.shape
+    aim = np.full((n, k), 1 / ((n + 2) * k))
+    aim[np.arange(n), truth] += (n + 1) / (n + 2)
+
+    def slope(sharp: float) -> float:  # of the loss, convex in 1 / temperature
+        z = logits * sharp
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return float(((p / p.sum(axis=1, keepdims=True) - aim) * logits).sum())
+
+    low, high = 1e-6, 1.0
+    while slope(high) < 0 and high < 1e9:
+        high *= 2
+    for _ in range(100):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    return 1 / high
+
+
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows of each label to take, `rows` at most: as even as the counts allow. With more labels than rows the most frequent get one each."""
+    out, left = {}, rows
+    order = sorted(counts, key=lambda c: (-counts[c], c))[:rows]
+    for at, label in enumerate(sorted(order, key=lambda c: (counts[c], c))):
+        out[label] = min(counts[label], left // (len(order) - at))
+        left -= out[label]
+    return out
+
 
+def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: str, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> Model | None:
+    """A model of the labelled rows' languages; None without any. Document frequencies are counted over all of texts.
+
+    Fitted on at most `rows` labelled ids: of each language those of the smallest hashes, by `quotas`, and as far as their texts have
+    `text_bytes` together. An id with several texts or labels counts with the first of them in alphabetical order.
+    """
     ship(texts.sparkSession)
 
     def frequencies(batches):
@@ -170,13 +202,18 @@ def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: s
     counts[feature[feature >= 0]] = df[feature >= 0]
     idf = np.log((1 + n) / (1 + counts)) + 1
 
-    known = labelled.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull())
+    known = labelled.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
     # the bound holds before the texts are looked up: only the chosen ids' texts move
-    chosen = known.select(F.col(id).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    rows = known.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")).join(F.broadcast(chosen), "id").collect()
-    once = {r.id: r for r in sorted(rows, key=lambda r: (r.id, r.text, r.label), reverse=True)}
-    rows = [once[i] for i in sorted(once)]
-    return fit([r.text for r in rows], [r.label for r in rows], idf) if rows else None
+    named = known.groupBy("id").agg(F.min("label").alias("label"))
+    share = quotas({r.label: r["count"] for r in named.groupBy("label").count().collect()}, rows)  # as many as there are languages
+    if not share:
+        return None
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    most = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
+    chosen = named.withColumn("place", place).where(F.col("place") <= max(share.values())).where(F.col("place") <= F.coalesce(F.try_element_at(most, "label"), F.lit(0))).select("id")
+    found = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    found = bounded_texts(found, text_bytes)
+    return fit([r.text for r in found], [r.label for r in found], idf)
 
 
 def crc_fold(id: Column, modulus: int) -> Column:

@@ -61,38 +61,36 @@ def _key_places(template: Template) -> range:
     return range(at, at + len(key))
 
 
-def _postings(templates: tuple[Template, ...], idf: dict[str, float], anchors: int) -> list[tuple]:
-    """(word, template, place, idf, anchor, key) rows; a template's anchors are its words of the highest idf."""
-    rows = []
-    for t, template in enumerate(templates):
-        words = indexed_words(template)
-        rare = sorted({w for _, w in words}, key=lambda w: (-idf[w], w))[:anchors]
-        key = _key_places(template)
-        rows += [(w, t, i, idf[w], w in rare, i in key) for i, w in words]
-    return rows
+def mandatory(template: Template) -> list[tuple[int, str]]:
+    """The places that must be there: all of a whole template, those of the key phrase of a notice."""
+    places = range(len(template.text.split())) if template.whole else _key_places(template)
+    return [(i, w) for i, w in indexed_words(template) if i in places]
 
 
 def scan_licenses(
-    docs: DataFrame, *, text: str, keys: list[str], base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, accept: float = 0.6, anchors: int = 3
+    docs: DataFrame, *, text: str, keys: list[str], base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, accept: float = 0.6, anchors: int = 2
 ) -> DataFrame:
     """License labels of every whole text.
 
     One pass keeps of each text only the words of the license vocabulary, with their places. Their document frequencies over all texts give
-    the idf. Each template is indexed under its highest-idf words (anchors); a text that holds an anchor looks up all its license words,
-    and postings of one template that agree on the relative position (place in the text less place in the template) meet in one group, a
-    candidate. A candidate of a whole template needs every word in its place. One of a notice needs its key phrase and the share accept
-    of the template's idf. The score is the largest such share of any candidate (whole templates: if complete), 0 without one.
-
-    Vocabulary, postings and idf are bounded by the templates, whatever the texts. Rows are told apart by a row number, so repeated or null
-    keys do no harm: every row comes back once. A null text is empty: no words, no labels. Other columns are dropped, so clashing names
-    do no harm. An empty table gives an empty result. Result: keys, n_words, n_base, first_word, last_word, base_labels, labels, score,
-    spans (label, first word, share of each accepted candidate, in order of place).
+    the idf. Each template is posted under the `anchors` words of the highest idf among those that it cannot do without (all words of a
+    whole template, the key phrase of a notice), so no match is missed. A text looks up its words that are such anchors, and only those:
+    postings of one template that agree on the relative position (place in the text less place in the template) meet in one group, and
+    where all anchors of the template do, it is a candidate. Then the other words of the template are looked for in their places of the
+    candidates alone. A whole template needs every word; a notice needs its key phrase and the share `accept` of the template's idf. The
+    score is the largest such share of any candidate (whole templates: 1 if complete), 0 without one.
+
+    The library of notices is small, a sentence for each of fourteen; others can be given. Vocabulary, postings and idf are bounded by the
+    templates, whatever the texts. Rows are told apart by a row number, so repeated or null keys do no harm: every row comes back once. A null
+    text is empty: no words, no labels. Other columns are dropped, so clashing names do no harm. An empty table gives an empty result.
+    Result: keys, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first word, share of each accepted
+    candidate, in order of place).
     """
     spark = docs.sparkSession
     templates = base + notices
     vocabulary = sorted({w for t in templates for _, w in indexed_words(t)})
     for t in templates:  # key phrases and whole templates are verified on indexed words alone
-        if not {i for i in (range(len(t.text.split())) if t.whole else _key_places(t))} <= {i for i, _ in indexed_words(t)}:
+        if len(mandatory(t)) < (len(t.text.split()) if t.whole else len(_key_places(t))):
             raise ValueError(f"a stop word is part of what must be verified: {t}")
     if any(not re.fullmatch(r"[a-z0-9]+", w) for w in vocabulary):
         raise ValueError("template words are lower-case ASCII letters and digits")
@@ -100,12 +98,14 @@ def scan_licenses(
     words = docs.select(
         *(F.col(k).alias(i) for k, i in kept.items()), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORD), F.lit(0)).alias("words")
     )
-    at = F.transform("words", lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("i"), (F.octet_length(w) == F.char_length(w)).alias("ascii")))
-    hits = F.filter(at, lambda x: x["w"].isin(vocabulary) & x["ascii"])
+    # the places first: of most texts' words nothing but their number is needed
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.lower(F.get("words", i)).isin(vocabulary))
+    hits = F.transform(F.when(F.size("words") > 0, places).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("words", i).alias("raw"), i.alias("i")))
+    plain = F.filter(hits, lambda x: F.octet_length(x["raw"]) == F.char_length(x["raw"]))  # lower() makes a letter of some signs
     found = written(
         words.select(
             F.monotonically_increasing_id().alias("rid"), *kept.values(), F.size("words").cast("long").alias("n_words"),
-            F.transform(hits, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"))).alias("hits"),
+            F.transform(plain, lambda x: F.struct(F.lower(x["raw"]).alias("w"), x["i"].alias("i"))).alias("hits"),
         ),
         "license-words",
     )
@@ -113,27 +113,28 @@ def scan_licenses(
     n, df = found.count(), {r.w: r["count"] for r in counts}
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1.0 for w in vocabulary}
 
-    rows = _postings(templates, idf, anchors)
-    postings = spark.sql(
-        "SELECT * FROM VALUES " + ", ".join(f"('{w}', {t}, {i}, {x!r}D, {str(a).lower()}, {str(k).lower()})" for w, t, i, x, a, k in rows) + " AS p(w, template, place, idf, anchor, in_key)"
+    rarest = [sorted(mandatory(t), key=lambda x: (df.get(x[1], 0), x[0]))[:anchors] for t in templates]
+    values = lambda rows, names: spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v({names})")
+    # all three are as large as the templates
+    lookups = F.broadcast(values([f"('{w}', {t}, {i}, {len(a)})" for t, a in enumerate(rarest) for i, w in a], "w, template, place, n_anchors"))
+    postings = F.broadcast(values([f"({t}, {i}, '{w}', {idf[w]!r}D, {str(i in _key_places(x)).lower()})" for t, x in enumerate(templates) for i, w in indexed_words(x)], "template, place, w, idf, in_key"))
+    needs = F.broadcast(
+        values(
+            [f"({t}, '{x.label}', {str(t < len(base)).lower()}, {str(x.whole).lower()}, {len(indexed_words(x))}, {len(_key_places(x))}, {sum(idf[w] for _, w in indexed_words(x))!r}D)" for t, x in enumerate(templates)],
+            "template, label, is_base, whole, n_all, n_key, idf_all",
+        )
     )
-    total = [sum(idf[w] for _, w in indexed_words(t)) for t in templates]
-    needs = spark.sql(
-        "SELECT * FROM VALUES "
-        + ", ".join(f"({i}, '{t.label}', {i < len(base)!s}, {str(t.whole).lower()}, {len(indexed_words(t))}, {len(_key_places(t))}, {total[i]!r}D)" for i, t in enumerate(templates))
-        + " AS n(template, label, is_base, whole, n_all, n_key, idf_all)"
-    )
-    rare = sorted({w for w, _, _, _, anchor, _ in rows if anchor})
+    rare = sorted({w for a in rarest for _, w in a})
+    looked = found.select("rid", F.explode(F.filter("hits", lambda x: x["w"].isin(rare))).alias("hit")).select("rid", "hit.w", "hit.i")
+    met = looked.join(lookups, "w").groupBy("rid", "template", (F.col("i") - F.col("place")).alias("start")).agg(F.count("*").alias("n"), F.max("n_anchors").alias("of"))
+    met = written(met.where("n = of").select("rid", "template", "start"), "license-candidates")
+    wanted = met.join(postings, "template").withColumn("i", F.col("start") + F.col("place"))
+    theirs = found.join(met.select("rid").distinct(), "rid", "left_semi").select("rid", F.inline("hits"))
     candidates = (
-        found.where(F.exists("hits", lambda x: x["w"].isin(rare)))
-        .repartition("rid")
-        .select("rid", F.explode("hits").alias("hit"))
-        .select("rid", F.col("hit.w").alias("w"), F.col("hit.i").alias("i"))
-        .join(F.broadcast(postings), "w")  # as many rows as the templates have words
-        .groupBy("rid", "template", (F.col("i") - F.col("place")).alias("start"))
-        .agg(F.count("*").alias("n"), F.sum("idf").alias("weight"), F.count_if("in_key").alias("in_key"), F.bool_or("anchor").alias("anchored"))
-        .where("anchored")
-        .join(F.broadcast(needs), "template")  # one row a template
+        wanted.join(theirs, ["rid", "i", "w"])
+        .groupBy("rid", "template", "start")
+        .agg(F.count("*").alias("n"), F.sum("idf").alias("weight"), F.count_if("in_key").alias("in_key"))
+        .join(needs, "template")
         .withColumn("share", F.when(~F.col("whole") | (F.col("n") == F.col("n_all")), F.least(F.lit(1.0), F.col("weight") / F.col("idf_all"))))
         .withColumn("accepted", F.when(F.col("whole"), F.col("n") == F.col("n_all")).otherwise((F.col("in_key") == F.col("n_key")) & (F.col("share") >= accept)))
     )

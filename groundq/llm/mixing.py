@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,7 @@ class Mixture:
     steps: list[list[float]]
     totals: list[float]
     targets: list[float]
+    settled: bool = True
 
     def posterior(self, bins: list[Column]) -> Column:
         """The probability of each domain, an array in the order of domains."""
@@ -92,13 +94,16 @@ def _features(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
     return read.withColumn("_bins", F.array(*levels(F.col("_text"), F.col("_tokens"))))
 
 
-def fit_mixture(features: DataFrame, labelled: DataFrame, targets: dict[str, float], *, budget: float = 1.0, rounds: int = 30, close: float = 1e-3) -> Mixture:
+def fit_mixture(features: DataFrame, labelled: DataFrame, targets: dict[str, float], *, budget: float | None = 1.0, rounds: int = 30, close: float = 1e-3) -> Mixture:
     """features: id, tokens, bins. labelled: id, domain. The table's counts (domains x features x levels) are all that reaches the driver.
 
     The classifier is a naive Bayes over the levels with counts of all labelled rows. Rates minimise the squares of the differences between
     expected domain totals (the sum of rate x tokens x posterior) and targets x budget x all tokens, each over the domain's total at rate 1,
     by projected gradient from the rate `budget`. Rows of equal levels move alike, so the iterations run over their sums: one aggregate
-    each, whose result, a number for each domain, is the next step. Steps end once every domain is within `close` of its target.
+    each, whose result, a number for each domain, is the next step. Steps end once every domain is within `close` of its target, or after
+    `rounds`. `settled` says whether the targets are met or the totals no longer move (the targets are out of reach then, and the totals
+    the nearest ones); where neither is so, a warning gives both. The budget None stands for the largest mix that repeats no domain: that in which the
+    scarcest one, measured by its target, has the rate 1.
     """
     domains = sorted(targets)
     n_features = len(levels(F.lit(""), F.lit(1)))
@@ -111,7 +116,7 @@ def fit_mixture(features: DataFrame, labelled: DataFrame, targets: dict[str, flo
     every = sum(rows.values())
     prior = [math.log((rows[d] + 1) / (every + len(domains))) for d in domains]
     tables = [[[math.log((seen.get((d, f, v), 0) + 0.5) / (rows[d] + 0.5 * LEVELS)) for v in range(LEVELS)] for f in range(n_features)] for d in domains]
-    mixture = Mixture(domains, prior, tables, float(budget), [], [], [])
+    mixture = Mixture(domains, prior, tables, 1.0 if budget is None else float(budget), [], [], [])
 
     grouped = features.groupBy("bins").agg(F.sum("tokens").alias("tokens"))
     grouped = grouped.withColumn("p", mixture.posterior([F.get("bins", F.lit(i)) for i in range(n_features)]))
@@ -123,15 +128,23 @@ def fit_mixture(features: DataFrame, labelled: DataFrame, targets: dict[str, flo
         return [float(x or 0.0) for x in sums]
 
     now = totals()
-    at_one = [x / budget for x in now]
+    at_one = [x / mixture.first for x in now] if mixture.first else [0.0] * len(domains)
     weights = [max(0.0, targets[d]) for d in domains]
-    mixture.targets = [w / (sum(weights) or 1.0) * budget * sum(at_one) for w in weights]
+    shares = [w / (sum(weights) or 1.0) for w in weights]
+    if budget is None:
+        budget = min((a / (w * sum(at_one)) for a, w in zip(at_one, shares, strict=True) if w > 0 and a > 0), default=1.0)
+        mixture.first, now = budget, [a * budget for a in at_one]
+    mixture.targets = [w * budget * sum(at_one) for w in shares]
+    reached = lambda: all(abs(a - t) <= close * max(t, close * sum(at_one)) for a, t in zip(now, mixture.targets, strict=True))
+    before = now
     for _ in range(rounds):
-        off = [(a - t) / s if s > 0 else 0.0 for a, t, s in zip(now, mixture.targets, at_one, strict=True)]
-        if all(abs(a - t) <= close * max(t, close * sum(at_one)) for a, t in zip(now, mixture.targets, strict=True)):
+        if reached():
             break
-        mixture.steps.append(off)
-        now = totals()
+        mixture.steps.append([(a - t) / s if s > 0 else 0.0 for a, t, s in zip(now, mixture.targets, at_one, strict=True)])
+        before, now = now, totals()
+    mixture.settled = reached() or all(abs(a - b) <= 1e-6 * sum(at_one) for a, b in zip(now, before, strict=True))
+    if not mixture.settled and close > 0:
+        warnings.warn(f"rates have not settled after {rounds} rounds: {dict(zip(domains, now, strict=True))} of {dict(zip(domains, mixture.targets, strict=True))}", stacklevel=2)
     mixture.totals = now
     dropped(grouped)
     return mixture
@@ -162,12 +175,13 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id: str, text: str, **how) -> DataFrame:
-    """The rows of docs, all columns, each as often as its copies say (a rate below 1 leaves some out, one above 1 repeats some)."""
-    features = written(_features(docs, text, F.col(id).alias("id")).select("id", F.col("_tokens").alias("tokens"), F.col("_bins").alias("bins")), "mix-features")
-    mixture = fit_mixture(features, labelled, targets, **how)
-    dropped(features)
+    """The rows of docs, all columns, each as often as its copies say (a rate below 1 leaves some out, one above 1 repeats some).
+
+    Each row is written once beside its features, so that the texts are read and measured once.
+    """
+    rows = _features(docs, text, F.struct("*").alias("_row"), F.col(id).alias("id"))
+    rows = written(rows.select("_row", "id", F.col("_tokens").alias("tokens"), F.col("_bins").alias("bins")), "mix-rows")
+    mixture = fit_mixture(rows.select("id", "tokens", "bins"), labelled, targets, **how)
     n = len(mixture.tables[0])
-    out = _features(docs, text, F.struct("*").alias("_row"), F.col(id).alias("_id"), F.col(text))
-    out = out.withColumn("_p", mixture.posterior([F.get("_bins", F.lit(i)) for i in range(n)])).withColumn("_p", _normal("_p"))
-    copies = _copies(mixture.rate(F.col("_p")), "_id")
-    return out.select("_row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("_row.*")
+    out = rows.withColumn("p", mixture.posterior([F.get("bins", F.lit(i)) for i in range(n)])).withColumn("p", _normal("p"))
+    return out.select("_row", F.explode(F.array_repeat(F.lit(1), _copies(mixture.rate(F.col("p")), "id").cast("int")))).select("_row.*")

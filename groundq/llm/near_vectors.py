@@ -181,8 +181,9 @@ def near_duplicate_vectors(rows: DataFrame, *, id: str, vector: str, cosine: flo
                 yield pa.RecordBatch.from_arrays([pa.array(filters), pa.array(rep[row]), pa.array(signs[row, 0]), pa.array(signs[row, 1])], ["filter", "rep", "s", "t"])
 
     members = written(groups.select("rep", "packed").mapInArrow(decoded, "filter long, rep long, s long, t long"), "filters")
-    sizes = members.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
-    met = chunked(joined(members, sizes, "filter", "n", members.count(), CHUNK), CHUNK)
+    # only filters of more than a chunk need their size; a million of them (16 bytes each) is the most that there can be
+    sizes = members.groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > max(CHUNK, members.count() // 1_000_000))
+    met = chunked(members.join(F.broadcast(sizes), "filter", "left").withColumn("n", F.coalesce("n", F.lit(1))), CHUNK)
     tasks = met.repartition("filter", "lo", "hi").sortWithinPartitions("filter", "lo", "hi", "rep")
 
     def alike(batches):

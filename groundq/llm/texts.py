@@ -7,6 +7,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
+
+from groundq.llm.shared import written
 
 #: Fixed odd multiplier of the polynomial hashes, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -114,6 +117,23 @@ def text_blocks(column: pa.Array):
         start = end
 
 
+def bounded_texts(rows, most: int) -> list:
+    """The rows (id, text, ...; one an id) in order of the hash of their ids, on the driver, as far as their texts have `most` bytes together."""
+    first = written(rows, "training-texts").withColumn("_order", F.xxhash64("id"))
+    sizes = first.select("_order", "id", F.octet_length("text").alias("n")).orderBy("_order", "id").collect()  # as many as the caller chose ids
+    total, last = 0, -1
+    for at, r in enumerate(sizes):
+        total += r.n
+        if total > most and at:
+            break
+        last = at
+    if last < 0:
+        return []
+    end = sizes[last]
+    upto = (F.col("_order") < end._order) | (F.col("_order") == end._order) & (F.col("id") <= F.lit(end.id))
+    return first.where(upto).orderBy("_order", "id").drop("_order").collect()
+
+
 def text_within(text: str, kept: dict[str, str]) -> tuple[str, str]:
     """(column, field) to read a text from: the column "text", or, for the name "key.field", that field of a key that is sent anyway."""
     key, _, field = text.partition(".")

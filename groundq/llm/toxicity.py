@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundq.llm.boosting import Trees, calibrated, fit_isotonic, fit_trees
-from groundq.llm.texts import Words, blocks, text_blocks, text_within, word_hash
+from groundq.llm.texts import Words, blocks, bounded_texts, text_blocks, text_within, word_hash
 from groundq.shipping import ship
 
 #: The classifier is fitted on at most so many labelled texts: those of the smallest hashes of id.
 TRAIN_ROWS = 8000
+#: And on texts of so many bytes together.
+TRAIN_BYTES = 1 << 26
 #: Insults to start from; the labelled texts add words and word beginnings.
 INSULTS = "idiot idiots stupid moron morons trash scum loser losers clown worthless pathetic disgusting dumb fool ugly garbage filth".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tus vos".split()
@@ -166,14 +168,18 @@ def fit(texts: list[str], y: np.ndarray, folds: int = 4, seed: int = 5) -> Model
     return Model(learn_lexicon(texts, y), fit_trees(x, y), *fit_isotonic(margin, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str) -> Model:
-    """A model of labels (id, label 0 or 1) of docs. Rows with a null id, text or label do not count; an id with both labels counts as 1."""
+def train(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> Model:
+    """A model of labels (id, label 0 or 1) of docs. Rows with a null id, text or label do not count; an id with both labels counts as 1.
+
+    Fitted on at most `rows` labelled ids, those of the smallest hashes, as far as their texts have `text_bytes` together. An id with several
+    texts counts with the first of them in alphabetical order, so that a rerun fits the same model.
+    """
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(id).agg(F.max(F.col(label).cast("int")).alias("label"))
     # the bound holds before the texts are looked up: only the chosen ids' texts move
-    chosen = known.orderBy(F.xxhash64(id), id).limit(TRAIN_ROWS)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(id), F.col(text).alias("text")).join(F.broadcast(chosen), id)
-    rows = sorted((r[id], r.text, r.label) for r in rows.dropDuplicates([id]).collect())
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows], "f8"))
+    chosen = known.orderBy(F.xxhash64(id), id).limit(rows)
+    found = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id, "id")), "id")
+    found = bounded_texts(found.groupBy("id").agg(F.min(F.struct("text", "label")).alias("first")).select("id", "first.text", "first.label"), text_bytes)
+    return fit([r.text for r in found], np.array([r.label for r in found], "f8"))
 
 
 def score_texts(docs: DataFrame, model: Model, *, keys: list[str], text: str) -> DataFrame:

@@ -46,9 +46,10 @@ def filter_urls(rows: DataFrame, rules: DataFrame, *, url: str, keys: list[str],
     rules: columns action ("allow" or "block"), host, path (with its leading slash, or empty). A rule fits its host and all subdomains
     if the url's path starts with the rule's path. The longest host + path wins; of equals the longer host, then block.
 
-    Each distinct (keys, host, path) is expanded into host-suffix and path-prefix expressions, which meet the rules in an equi-join on
-    four bytes of their digest and a salt, so that an expression of a third of all rows (com/) is spread over many tasks whatever side
-    Spark broadcasts. What meets is confirmed by the full digest and the rule's whole path.
+    Each url is expanded, where it is read, into host-suffix and path-prefix expressions, which meet the rules in an equi-join on four
+    bytes of their digest and a salt, so that an expression of a third of all rows (com/) is spread over many tasks if Spark does not
+    broadcast the rules. What meets is confirmed by the full digest and the rule's whole path. The best rule of a row is an aggregate over
+    a row number, which combines before its shuffle: one small row a url goes through it.
 
     Nulls: a null url, or one without ://, has an empty host and path, meets no rule and gets the default; null keys are kept. Rows that
     repeat come back as often as they came. An empty rules table gives every row the default. Columns besides keys and url are dropped,
@@ -57,12 +58,8 @@ def filter_urls(rows: DataFrame, rules: DataFrame, *, url: str, keys: list[str],
     """
     kept = {k: f"key_{i}" for i, k in enumerate(keys)}
     ids = list(kept.values())
-    pages = (
-        rows.select(*(F.col(k).alias(i) for k, i in kept.items()), F.col(url).alias("url"))
-        .select(*ids, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-        .groupBy(*ids, "host", "path")
-        .agg(F.count("*").alias("times"))
-    )
+    pages = rows.select(F.monotonically_increasing_id().alias("rid"), *(F.col(k).alias(i) for k, i in kept.items()), F.col(url).alias("url"))
+    pages = pages.select("rid", *ids, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     # a rule path that ends within a segment joins at its last slash and is confirmed by its whole path
     folder = F.regexp_extract("rule_path", r"(?s)^(.*/)?", 1)
     rule = (
@@ -78,7 +75,7 @@ def filter_urls(rows: DataFrame, rules: DataFrame, *, url: str, keys: list[str],
     asks = (
         pages.withColumn("expression", asked)
         .withColumn("short", _short(F.col("expression")))
-        .withColumn("salt", F.pmod(F.xxhash64(*ids, "host", "path"), F.lit(SALTS)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
     )
     met = asks.join(rule, ["short", "salt"], "left")
     fits = (F.col("digest") == F.sha2("expression", 256)) & F.expr("startswith(path, rule_path)")
@@ -87,12 +84,9 @@ def filter_urls(rows: DataFrame, rules: DataFrame, *, url: str, keys: list[str],
         F.length("rule_host").alias("b"),
         (F.col("action") == "block").cast("int").alias("c"),
     )
-    best = met.groupBy(*ids, "host", "path").agg(
-        F.max("times").alias("times"),
-        F.max(F.when(fits, F.struct(rank.alias("rank"), "action", "rule_host", "rule_path"))).alias("best"),
-    )
+    best = met.groupBy("rid", *ids, "host", "path").agg(F.max(F.when(fits, F.struct(rank.alias("rank"), "action", "rule_host", "rule_path"))).alias("best"))
     name = F.concat("best.rule_host", F.when(F.col("best.rule_path") == "", F.lit("/")).otherwise(F.col("best.rule_path")))
-    return best.withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).select(
+    return best.select(
         *(F.col(i).alias(k) for k, i in kept.items()),
         "host",
         "path",

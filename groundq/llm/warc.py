@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundq.llm.shared import shared_dir, written
+from groundq.llm.shared import HOT_KEYS, shared_dir, written
 from groundq.shipping import ship
 
 # Fixed values of the seekable format: a skippable frame of (compressed, decompressed) sizes and a footer, all little-endian.
@@ -21,7 +21,6 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 27
-SALTS = 16
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 INDEX = "record_id string, bundle string, frame int, at long, length long"
@@ -123,12 +122,13 @@ def write_bundles(rows: DataFrame, *, key: str, url: str, payload: Column, least
     """Writes a WARC record for each row into bundles below path (default: the shared folder) and returns their index.
 
     payload: the bytes, null counts as empty. Of rows with equal payloads of at least `least` bytes the one with the smallest key (null
-    last; of one key that with the smallest url, null first) is a response and the others are revisits of it; the other rows are all
-    responses. Equal payloads are found
-    by SHA-256 with an aggregate that combines before the shuffle; only digests that occur twice are joined back, under a salt, so that a
-    payload of a third of all rows is spread over many tasks. Each task writes its own bundles under names that no other attempt uses and
-    returns their index rows, so an attempt that is lost leaves an unread file and no wrong index. Records are grouped into frames of about
-    256 KB that decompress on their own; the footer of a bundle holds the seek table.
+    last) is a response and the others are revisits of it, by the identifier that it has under its smallest url (null first); further rows
+    of that same key and payload are responses too, whatever their urls, as a page does not revisit itself. The other rows are all
+    responses. Equal payloads are found by SHA-256 with an aggregate that combines before the shuffle; digests that occur twice are
+    written and joined back, the most frequent ones by a broadcast, so that a payload of a third of all rows is spread over many tasks.
+    Each task writes its own bundles under names that no other attempt uses and returns their index rows, so an attempt that is lost
+    leaves a file that the index does not name; `manifest` lists those that it names, for whoever reads the folder without the index.
+    Records are grouped into frames of about 256 KB that decompress on their own; the footer of a bundle holds the seek table.
 
     An empty table writes nothing. Rows that repeat key, url and payload are stored as often as they come, under one identifier. Other
     columns are dropped, so clashing names do no harm. Index: key, record_id, bundle, frame, at (offset in the decompressed frame), length.
@@ -141,14 +141,14 @@ def write_bundles(rows: DataFrame, *, key: str, url: str, payload: Column, least
     each = each.withColumn("digest", F.sha2("body", 256)).withColumn("length", F.octet_length("body").cast("long"))
     order = F.struct(F.col("key").isNull().alias("late"), F.col("key").alias("key"), F.col("url").alias("url"))
     twice = each.where(F.col("length") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    twice = twice.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(twice, ["digest", "salt"], "left")
-    itself = F.col("first.key").eqNullSafe(F.col("key")) & F.col("first.url").eqNullSafe(F.col("url"))
-    revisits = F.col("first").isNotNull() & ~itself & (F.col("length") >= least)
+    twice = written(twice.select("digest", F.col("first.key").alias("first_key"), F.col("first.url").alias("first_url"), "n"), "warc-copies")
+    limit = max(1000, (twice.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot, others = F.broadcast(twice.where(F.col("n") > limit)), twice.where(F.col("n") <= limit)  # at most HOT_KEYS are hot
+    joined = each.join(hot, "digest").unionByName(each.join(F.broadcast(twice.where(F.col("n") > limit).select("digest")), "digest", "left_anti").join(others, "digest", "left"))
+    revisits = F.col("n").isNotNull() & ~F.col("first_key").eqNullSafe(F.col("key")) & (F.col("length") >= least)
     joined = joined.select(
         "key", F.col("key").cast("string").alias("name"), "url", "digest", "length", F.when(~revisits, F.col("body")).alias("body"),
-        revisits.alias("revisits"), F.col("first.key").cast("string").alias("first_key"), F.col("first.url").alias("first_url"),
+        revisits.alias("revisits"), F.col("first_key").cast("string").alias("first_key"), "first_url",
     )
     key_type = dict(rows.dtypes)[key]
 
@@ -178,6 +178,11 @@ def write_bundles(rows: DataFrame, *, key: str, url: str, payload: Column, least
     return written(joined.mapInArrow(write, f"key {key_type}, {INDEX}"), "warc-index").withColumnRenamed("key", key)
 
 
+def manifest(index: DataFrame, path: str) -> None:
+    """Writes the names of the bundles that an index names to a text folder: whatever else lies beside them is of a lost attempt."""
+    index.select("bundle").distinct().write.mode("overwrite").text(path)
+
+
 def read_records(index: DataFrame, *, key: str) -> DataFrame:
     """Each record that the index names, read back from its bundle by frame and offset.
 

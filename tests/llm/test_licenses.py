@@ -1,6 +1,7 @@
+import math
 import re
 
-from groundq.llm.licenses import scan_licenses
+from groundq.llm.licenses import BASE, NOTICES, STOP, scan_licenses
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 TEXTS = [
@@ -37,3 +38,34 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     out = scan_licenses(rows, text="text", keys=["doc_id"]).collect()
     assert sorted((r.doc_id or 0, r.n_base) for r in out) == [(0, 1)] * 3 + [(1, 0)]
     assert scan_licenses(rows.limit(0), text="text", keys=["doc_id"]).count() == 0
+
+
+def judged(texts, accept=0.6):
+    """Labels and scores by trying every template at every place."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    idf = lambda w: math.log((len(texts) + 1) / (sum(w in s for s in split) + 1)) + 1
+    out = []
+    for words in split:
+        labels, score = set(), 0.0
+        for t in BASE + NOTICES:
+            own, key = t.text.split(), t.key.split()
+            at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+            weights = [0.0 if w in STOP else idf(w) for w in own]
+            for start in range(-len(own), len(words)):
+                same = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own)]
+                must = same if t.whole else same[at : at + len(key)]
+                share = sum(x for x, s in zip(weights, same, strict=True) if s) / sum(weights)
+                if all(must):
+                    score = max(score, share)
+                    if share >= accept:
+                        labels.add(t.label)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_labels_and_score_against_every_place(spark):
+    texts = [t for t in TEXTS if t is None or len(t) < 10_000] + [t.text + " and more" for t in NOTICES] + ["mozilla public license v 2 0", "licensed under cc by nc", "x subject to the terms of the mozilla public license"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(rows, text="text", keys=["doc_id"], anchors=9).collect()}
+    for i, (labels, score) in enumerate(judged(texts)):
+        assert got[i][0] == labels and math.isclose(got[i][1], score, abs_tol=1e-9), texts[i]

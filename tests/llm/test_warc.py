@@ -4,7 +4,7 @@ import io
 import zstandard
 from pyspark.sql import functions as F
 
-from groundq.llm.warc import BundleReader, read_record, read_records, write_bundles
+from groundq.llm.warc import BundleReader, manifest, read_record, read_records, write_bundles
 
 
 def test_round_trip(spark, tmp_path):
@@ -38,3 +38,16 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     got = read_records(write_bundles(df, key="page_id", url="url", payload=F.col("html")), key="page_id").collect()
     assert sorted((r.page_id or 0, r.warc_type, r.refers_to_key or "") for r in got) == [(0, "revisit", "3"), (3, "response", ""), (3, "response", "")]
     assert read_records(write_bundles(df.limit(0), key="page_id", url="url", payload=F.col("html")), key="page_id").count() == 0
+
+
+def test_a_page_does_not_revisit_itself_and_the_manifest_names_what_counts(spark, tmp_path):
+    copy = "z" * 150
+    df = spark.createDataFrame([(3, "http://b", copy), (3, "http://a", copy), (4, "http://c", copy)], "page_id long, url string, html string")
+    index = write_bundles(df, key="page_id", url="url", payload=F.col("html"), path=f"file://{tmp_path}/w")
+    got = {r.target_uri: (r.warc_type, r.refers_to_key, r.refers_to) for r in read_records(index, key="page_id").collect()}
+    assert got["http://a"][0] == got["http://b"][0] == "response" and got["http://c"][:2] == ("revisit", "3")
+    assert read_record(spark, index, got["http://c"][2], key="page_id").first().target_uri == "http://a"
+    BundleReader(index.first().bundle).close()
+    (tmp_path / "w" / "bundle-lost.warc.zst").write_bytes(b"of a lost attempt")
+    manifest(index, str(tmp_path / "m"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "m")).collect()} == {r.bundle for r in index.collect()}
