@@ -13,7 +13,7 @@ from groundq.llm.near_texts import keep_one
 from groundq.llm.packing import pack_documents
 from groundq.llm.query_mixing import labelled_domains
 from groundq.llm.query_packing import VOCABULARY, digests
-from groundq.llm.shared import dropped, written
+from groundq.llm.shared import dropped, scratch, written
 from groundq.llm.toxicity import score_texts
 from groundq.llm.toxicity import train as train_toxicity
 
@@ -21,8 +21,8 @@ from groundq.llm.toxicity import train as train_toxicity
 TOXIC = 0.5
 #: A document goes if it has no letter, or if it carries a lang and the model is at least this sure of another.
 SURE = 0.99
-#: Shares of tokens after mixing, and their sum as a share of what comes in: enough that what is clean is not thinned out.
-TARGETS, BUDGET = {"clean": 0.9, "noisy": 0.1}, 1.1
+#: Shares of tokens after mixing, and their sum as a share of what comes in: a training run over as many tokens as there are.
+TARGETS, BUDGET = {"clean": 0.9, "noisy": 0.1}, 1.0
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -38,12 +38,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: they have a letter, and their lang, if any, is not surely another."""
+    """Documents whose language is known: they have a letter, and their lang, if it is one that was learned, is not surely another."""
     known = docs.where(crc_fold(F.col("doc_id"), 4) != 2)
     model = train_language(known, known, id="doc_id", text="text", label="lang")
     told = identify(_row(docs), model, keys=["_row", "lang"], text="_row.text")
-    wrong = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE)
-    return told.where((F.col("lang_pred") != "und") & ~wrong).select("_row.*")
+    learned = F.col("lang").isin(model.classes if model else [])  # of another language the model knows nothing, so it contradicts none
+    wrong = learned & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE)
+    return told.where((F.col("lang_pred") != "und") & ~F.coalesce(wrong, F.lit(False))).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each result written to the shared folder."""
+    """All stages over the documents table, each result written to the shared folder. What a stage wrote for itself goes once its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        with scratch() as tables:
+            made = stage(spark, docs, sf_dir)
+        before, docs = docs, written(made, name)
+        tables.release()
         dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
