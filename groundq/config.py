@@ -9,6 +9,11 @@ REFUSAL_TEXT = "Je ne peux pas répondre à partir du corpus actuel."
 RETRIEVAL_K, SELECTION_K, RETRIEVAL_MOST, QUOTES_MOST = 20, 8, 50, 4
 SNIPPET_CHARS, SPAN_CHARS, SLUG_CHARS = 500, 400, 80
 
+# The grammar of references at the end of a quotation, which stored answers follow. A label, "Ch. n" with what comes after it, a file name.
+REFERENCE_LABEL = r"[A-Za-z][\w\s\-]{0,80},\s*"
+REFERENCE_CHAPTER = r"(?:Ch\.|Chapter)\s*\d+.*$"
+REFERENCE_FILE = r"[a-z0-9][a-z0-9._-]*\.(?:txt|md|pdf)\s*,?\s*"
+
 
 @dataclass(frozen=True)
 class Corpus:

@@ -28,7 +28,9 @@ def one_line(c: Column) -> Column:
 
 
 def paragraph(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(plain(c), "[ \t]+", " "), r"\s*\n\s*", " "))
+    """Lines of a paragraph joined by single spaces, each trimmed; blank ones go."""
+    lines = F.transform(F.split(F.regexp_replace(plain(c), "[ \t]+", " "), r"\s*\n\s*"), F.trim)
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def heading(c: Column) -> Column:

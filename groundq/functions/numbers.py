@@ -54,3 +54,19 @@ def change(previous: Column, current: Column, kind: str, better: str) -> Column:
     delta = number(current) - number(previous)
     good = delta > 0 if better == "up" else delta < 0
     return F.when(delta.isNull() | (delta == 0), "neutral").when(good, "good").otherwise("bad")
+
+
+def label(metric: str) -> str:
+    """A metric's name in the report: without the prefix of run rows."""
+    return metric.removeprefix("m__")
+
+
+def run_timestamp(ts: Column) -> Column:
+    """The time of a run as its folder names it."""
+    return F.date_format(ts, "yyyy-MM-dd_HH-mm-ss")
+
+
+def report_link(run_dir: Column) -> Column:
+    """A link to a run's own report; nothing for a run without a folder."""
+    escaped = F.replace(F.replace(F.replace(run_dir, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.when(F.length(run_dir) > 0, F.concat(F.lit('<a href="'), escaped, F.lit('/report.html" target="_blank">open</a>'))).otherwise(F.lit(""))

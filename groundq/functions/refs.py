@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundq.functions.text import line_feeds, strip, title_from_slug
+from groundq.config import REFERENCE_LABEL
+from groundq.functions.text import line_feeds, strip, title_from_slug, without_reference
 
 
 def _int(c: Column) -> Column:
@@ -16,6 +17,7 @@ def _group(c: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, group), F.lit(""))
 
 
+# How file names and readable references carry chapter and section.
 FULL, CHAPTER = r"(?id)_ch_(\d{1,2}).*?_s(\d{1,2})_", r"(?id)_ch_(\d{1,2})_"
 REF = r"(?id)Ch\.\s*(\d{1,2}).*?§\s*(\d{1,2})"
 
@@ -52,7 +54,7 @@ def readable_ref(filename: Column, label: Column | str) -> Column:
 
 def strip_ref(line: Column) -> Column:
     """A line without the "Label, Ch. n ..." at its end."""
-    return strip(F.regexp_replace(line, r"(?idU)\s+[A-Za-z][\w\s\-]{0,80},\s*(?:Ch\.|Chapter)\s*\d+.*$", ""))
+    return without_reference(line, REFERENCE_LABEL)
 
 
 def section_filename(book: Column, number: Column, title: Column, chapter: Column, chapter_title: Column, section: Column, section_title: Column) -> Column:
@@ -60,6 +62,7 @@ def section_filename(book: Column, number: Column, title: Column, chapter: Colum
     return F.concat_ws("_", book, F.concat(F.lit("book"), two(number)), title, F.lit("ch"), two(chapter), chapter_title, F.concat(F.lit("s"), two(section)), F.concat(section_title, F.lit(".txt")))
 
 
+#: Fixed value: a citation marker.
 MARKER = r"【\d+:\d+†([^】]+)】"
 
 

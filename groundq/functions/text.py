@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundq.config import SLUG_CHARS
+from groundq.config import REFERENCE_CHAPTER, REFERENCE_FILE, REFERENCE_LABEL, SLUG_CHARS
 
 #: White space in the sense of Unicode, with the four ASCII separators that Java leaves out.
 SPACE = r"[\s\x1c-\x1f]"
@@ -31,13 +31,17 @@ def line_feeds(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
 
+def without_reference(c: Column, before: str) -> Column:
+    """c up to a chapter reference that `before` introduces, if it has one."""
+    return strip(F.regexp_replace(c, rf"(?idU)\s+{before}{REFERENCE_CHAPTER}", ""))
+
+
 def clean_quote(c: Column) -> Column:
-    """The quotation alone: a reference at its end and one pair of marks around it are taken off."""
+    """The quotation alone: a reference at its end, by file or by label, and one pair of marks around it are taken off."""
     q = strip(F.coalesce(c, F.lit("")))
-    q = strip(F.regexp_replace(q, r"(?idU)\s+[a-z0-9][a-z0-9._-]*\.(?:txt|md|pdf)\s*,?\s*(?:Ch\.|Chapter)\s*\d+.*$", ""))
-    q = strip(F.regexp_replace(q, r"(?idU)\s+(?:[A-Za-z][\w\s\-]{0,80},\s*)?(?:Ch\.|Chapter)\s*\d+.*$", ""))
-    first, last = F.substring(q, 1, 1), F.substring(q, -1, 1)
-    wrapped = (F.char_length(q) >= 2) & first.isin('"', "'") & (first == last)
+    for before in (REFERENCE_FILE, f"(?:{REFERENCE_LABEL})?"):
+        q = without_reference(q, before)
+    wrapped = q.rlike(r"(?s)^(['\"]).*\1\z")
     return F.when(wrapped, strip(F.substring(q, F.lit(2), F.char_length(q) - 2))).otherwise(q)
 
 
@@ -51,10 +55,9 @@ def slug(c: Column) -> Column:
 
 
 def slug_keep_hyphen(c: Column) -> Column:
-    """Hyphens stay, spaces become underscores, the rest goes; no_title if nothing is left."""
-    kept = F.regexp_replace(F.lower(fold_space(c)), r"[^a-z0-9\-\s]+", "")
-    out = F.btrim(F.regexp_replace(F.regexp_replace(kept, r"\s+", "_"), "_+", "_"), F.lit("_"))
-    return F.when(out == "", F.lit("no_title")).otherwise(out)
+    """Runs of spaces and underscores become one underscore, hyphens stay, the rest goes; no_title if nothing is left."""
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(fold_space(c)), r"[^a-z0-9\-\s]", ""), F.lit(r"[^\s_]+"), F.lit(0))
+    return F.coalesce(F.nullif(F.array_join(words, "_"), F.lit("")), F.lit("no_title"))
 
 
 def short_slug(c: Column, most: int = SLUG_CHARS) -> Column:

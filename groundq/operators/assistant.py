@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundq.config import SNIPPET_CHARS, SPAN_CHARS
 
 
+#: Messages that a page holds.
+MESSAGES_MOST = 20
+
+
 def _get(v: str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -27,6 +32,12 @@ def pool_from_steps(steps: DataFrame, files: DataFrame) -> DataFrame:
     return out.join(files, "file_id", "left").select("qid", "step", "rank", "file_id", "filename", "score", "snippet")
 
 
+def newest(messages: DataFrame, most: int = MESSAGES_MOST) -> DataFrame:
+    """The page of messages that is read: the first `most` of each question by position, which counts from the newest."""
+    place = F.row_number().over(W.partitionBy("qid").orderBy("position"))
+    return messages.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
 def latest_assistant_message(messages: DataFrame) -> DataFrame:
     """(qid, content): the first assistant message in the order given (qid, position, role, content VARIANT)."""
     return messages.where("role = 'assistant'").groupBy("qid").agg(F.min_by("content", "position").alias("content"))

@@ -48,7 +48,7 @@ def quote_match(quotes: DataFrame, selected: DataFrame, texts: DataFrame) -> Dat
     of a coordinate the last counts. texts: filename, text.
     """
     files = last_wins(selected.where("chapter IS NOT NULL AND section IS NOT NULL AND length(filename) > 0"), ["qid", "chapter", "section"], "rank", ["filename"])
-    some = quotes.withColumn("_q", clean_quote(F.col("quote"))).where("_q <> '' AND chapter IS NOT NULL AND section IS NOT NULL")
+    some = quotes.select("qid", "quote", "chapter", "section").withColumn("_q", clean_quote(F.col("quote"))).where("_q <> '' AND chapter IS NOT NULL AND section IS NOT NULL")
     # each text is normalised once, before it meets its quotes
     normal = texts.where("text IS NOT NULL").select("filename", for_match(F.col("text")).alias("_t"))
     met = some.join(files, ["qid", "chapter", "section"], "left").join(normal, "filename", "left")

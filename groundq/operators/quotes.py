@@ -97,20 +97,50 @@ def parse_replies(replies: DataFrame) -> DataFrame:
 def verbatim_search(texts: DataFrame, items: DataFrame, *, id: str, text: str, item: str, item_text: str, width: int = 5) -> DataFrame:
     """(id, item): items whose normalised text stands somewhere in a normalised text.
 
-    Five words within each item, not its first or last ones, which the text may continue, are the key of an equi-join with every run of
-    five words of the texts; what meets is confirmed by containment. Items too short for that are compared with each text.
+    The words of an item but for its first and last one, which the text may continue, are whole words of the text. Up to `width` of them in a row are the
+    key of an equi-join with all runs of so many words of the texts (one pass for each number that the items ask for). Items of one or two words have no such words:
+    their characters are the key, and meet the texts' runs of as many characters; those lengths are read off the items first. Only keys travel: a
+    text joins once for all items that it met, and containment decides. An id that repeats stands for all its texts.
     """
-    split = lambda c: F.split(c, " ")
-    run = lambda at: F.xxhash64(*(F.get("_w", at + k) for k in range(width)))
-    wanted = items.select(F.col(item).alias("_item"), for_match(F.col(item_text)).alias("_want")).where("_want <> ''").withColumn("_w", split(F.col("_want")))
-    long = wanted.where(F.size("_w") >= width + 2).select("_item", "_want", run(F.lit(1)).alias("_key"))
+    wanted = items.select(F.col(item).alias("_item"), for_match(F.col(item_text)).alias("_want")).where("_want <> ''").withColumn("_w", F.split("_want", " "))
+    inner = F.least(F.size("_w") - 2, F.lit(width))
+    words = lambda n: F.xxhash64(F.array_join(F.slice("_w", 2, n), " "))
+    keyed = wanted.select("_item", "_want", F.when(inner > 0, inner).otherwise(-F.char_length("_want")).alias("_n"), F.when(inner > 0, words(F.greatest(inner, F.lit(1)))).otherwise(F.xxhash64("_want")).alias("_key"))
+    sizes = sorted(r[0] for r in keyed.select("_n").distinct().collect())  # at most `width`, and the lengths of items of two words
     held = texts.select(F.col(id).alias("_id"), for_match(F.col(text)).alias("_text"))
-    runs = held.withColumn("_w", split(F.col("_text"))).where(F.size("_w") >= width)
-    keys = F.transform(F.sequence(F.lit(0), F.size("_w") - width), run)
-    met = runs.select("_id", "_text", F.explode(F.array_distinct(keys)).alias("_key")).join(long, "_key").where(F.col("_text").contains(F.col("_want")))
-    short = wanted.where(F.size("_w") < width + 2)
-    rest = held.join(short, F.col("_text").contains(F.col("_want"))).select("_id", "_item")
-    return met.select("_id", "_item").union(rest).select(F.col("_id").alias(id), F.col("_item").alias(item))
+    none = F.array().cast("array<bigint>")
+
+    def keys(n: int) -> Column:
+        """Hashes of the text's runs of n words, or of -n characters."""
+        if n > 0:
+            split = F.split("_text", " ")
+            every = F.transform(F.sequence(F.lit(1), F.size(split) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(split, i, F.lit(n)), " ")))
+            return F.when(F.size(split) >= n, every).otherwise(none)
+        every = F.transform(F.sequence(F.lit(1), F.char_length("_text") + n + 1), lambda i: F.xxhash64(F.substring(F.col("_text"), i, F.lit(-n))))
+        return F.when(F.char_length("_text") >= -n, every).otherwise(none)
+
+    runs = held.select("_id", F.inline(F.array(*(F.struct(F.lit(n).alias("_n"), F.array_distinct(keys(n)).alias("_keys")) for n in sizes)) if sizes else F.array().cast("array<struct<_n:int,_keys:array<bigint>>>")))
+    met = runs.select("_id", "_n", F.explode("_keys").alias("_key")).join(keyed, ["_n", "_key"]).select("_id", "_item", "_want").distinct()
+    found = held.join(met, "_id").where(F.col("_text").contains(F.col("_want")))
+    return found.select(F.col("_id").alias(id), F.col("_item").alias(item)).distinct()
+
+
+def grade_by_model(questions: DataFrame, items: DataFrame, complete: Callable[[str, list[dict]], str]) -> DataFrame:
+    """Grades that a model gives: (qid, ref, score) of its replies {"per_item": [{"ref", "score"}]}. complete(question, [{ref, quote}]) returns the reply.
+
+    A question without quotes is not asked. A reply that is no such object gives no grades; scores that are no numbers are null.
+    """
+    each = items.groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(F.struct("ref", "quote")))).alias("items")).join(questions, "qid")
+
+    def reply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        for f in frames:
+            yield pd.DataFrame({"qid": f["qid"], "reply": [complete(q, json.loads(x)) for q, x in zip(f["question"], f["items"], strict=True)]})
+
+    replies = each.select("qid", "question", "items").mapInPandas(reply, f"qid {dict(items.dtypes)['qid']}, reply string").withColumn("v", json_object(F.col("reply")))
+    rows = replies.where("v IS NOT NULL").select("qid", F.explode(F.try_variant_get("v", "$.per_item", "array<variant>")).alias("g"))
+    return rows.select("qid", F.try_variant_get("g", "$.ref", "string").alias("ref"), F.try_variant_get("g", "$.score", "double").alias("score"))
 
 
 def grade_by_overlap(questions: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -37,3 +37,17 @@ def trend(rows: DataFrame, key: str, metric: str) -> DataFrame:
     w = W.partitionBy(key).orderBy("timestamp", "run_dir")
     out = rows.withColumn("previous", F.lag(metric).over(w))
     return out.withColumn("change", change(F.col("previous"), F.col(metric), kind, better)).withColumn("shown", display(F.col(metric), kind))
+
+
+def union_runs(*tables: DataFrame) -> DataFrame:
+    """Rows of runs whose metrics differ: all columns that any of them has, null where one has none."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def analyse(rows: DataFrame, suite: str | None = None, mode: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(run means in report order, the rows that they are of), of one suite and mode if they are named."""
+    some = rows.where((F.col("suite_id") == suite) if suite else F.lit(True)).where((F.col("mode") == mode) if mode else F.lit(True))
+    return in_report_order(summarize_runs(some)), some

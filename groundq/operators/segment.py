@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundq.functions.text import canonical_markdown
+from groundq.functions.html import heading
+from groundq.functions.refs import section_filename
+from groundq.functions.text import canonical_markdown, short_slug, slug_keep_hyphen
+from groundq.operators.retrieve import last_wins
 from groundq.shipping import ship
 
 
@@ -51,36 +54,39 @@ def header_segments(books: DataFrame, *, id: str, text: str, strict: bool = True
     return numbered.select(F.col("_id").alias(id), *names, F.col("island").alias("chapter_number"), F.col("ordinal").alias("section_number"), "content")
 
 
-def plain(text: str) -> str:
-    """Line ends and separators in one form, entities resolved."""
-    return html.unescape(re.sub("\r\n?|[\u2028\u2029]", "\n", text).lstrip("\ufeff"))
+def _folded(text: str, joint: str) -> str:
+    """Entities resolved, lines (of any kind of break) trimmed and joined, blank ones left out."""
+    lines = html.unescape(re.sub("[\u2028\u2029]|\r\n?", "\n", text).lstrip("\ufeff")).split("\n")
+    return joint.join(line for line in (re.sub(r"[ \t]+", " ", x).strip() for x in lines) if line)
 
 
 def paragraph(text: str) -> str:
-    return re.sub(r"\s*\n\s*", " ", re.sub(r"[ \t]+", " ", plain(text))).strip()
+    return _folded(text, " ")
 
 
 def one_line(text: str) -> str:
-    return " ".join(plain(text).split())
+    return " ".join(_folded(text, " ").split())
 
 
 class _Sections(HTMLParser):
     """Collects (container number, container title, section title, paragraph) in document order.
 
     A paragraph that opens while another is open starts anew and the open one is lost; one that is open when the container ends is kept.
+    A container counts once it is closed: one that the page leaves open, or that another container replaces, gives nothing.
     """
 
     def __init__(self, container: str, container_class: str | None, title: str, section: str, block: str):
         super().__init__(convert_charrefs=False)
         self.tags, self.css = (container, title, section, block), container_class
-        self.found: list[list] = []
+        self.found: list[tuple] = []
+        self.rows: list[list] = []  # of the open container
         self.depth, self.number, self.open, self.kept = 0, 0, "", {}
         self.title, self.section, self.part = "", "No Title", 0
 
     def handle_starttag(self, tag, attrs):
         container, title, section, block = self.tags
         if tag == container and (self.css is None and not self.depth or self.css is not None and dict(attrs).get("class") == self.css):
-            self.depth, self.number = 1, self.number + 1
+            self.depth, self.number, self.rows = 1, self.number + 1, []
             self.title, self.section, self.part, self.kept = "", "No Title", 0, {}
             return
         if not self.depth:
@@ -105,11 +111,9 @@ class _Sections(HTMLParser):
             self.depth -= 1
             if not self.depth:
                 self._paragraph()
+                self.found += [(self.number, self.title, *row) for row in self.rows]
         elif tag == title and tag in self.kept:
             self.title = one_line("".join(self.kept.pop(tag)))
-            for row in self.found:
-                if row[0] == self.number:
-                    row[1] = self.title
         elif tag == section and tag in self.kept:
             self.section = one_line("".join(self.kept.pop(tag))) or "No Title"
         elif tag == block:
@@ -117,7 +121,7 @@ class _Sections(HTMLParser):
 
     def _paragraph(self):
         if text := paragraph("".join(self.kept.pop(self.tags[3], []))):
-            self.found.append([self.number, self.title, self.part, self.section, text])
+            self.rows.append([self.part, self.section, text])
 
     def handle_data(self, data):
         if self.depth and (now := self._heading() or (self.tags[3] if self.tags[3] in self.kept else "")):
@@ -133,7 +137,8 @@ class _Sections(HTMLParser):
 def html_segments(pages: DataFrame, *, id: str, html: str, container: str = "div", container_class: str | None = "chapter", title: str = "h2", section: str = "h3", block: str = "p") -> DataFrame:
     """Sections of HTML books: (id, chapter_number, chapter_title, section_number, section_title, content), paragraphs between blank lines.
 
-    Sections without a paragraph are left out before numbering. The tokenizer is Python's, a page at a time within Arrow batches.
+    Sections without a paragraph are left out before numbering, and containers that are never closed, or are replaced by another one that
+    opens within them, altogether. chapter_number counts containers, also those left out. The tokenizer is Python's, a page at a time within Arrow batches.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,3 +158,16 @@ def html_segments(pages: DataFrame, *, id: str, html: str, container: str = "div
     parts = found.groupBy("_id", "chapter", "part").agg(F.max("chapter_title").alias("chapter_title"), F.max_by("section_title", "n").alias("section_title"), body.alias("content"))
     numbered = number_within(parts, ["_id", "chapter"], ["part"])
     return numbered.select(F.col("_id").alias(id), F.col("chapter").alias("chapter_number"), F.nullif("chapter_title", F.lit("")).alias("chapter_title"), F.col("ordinal").alias("section_number"), "section_title", "content")
+
+
+def sections_from_html(pages: DataFrame, *, id: str, html: str, book: str, number: int, book_title: str, **tags) -> DataFrame:
+    """The section files of an HTML book: (id, filename, text, chapter, section).
+
+    A chapter's heading gives its number (0 if it has none) and title (No Title), the sections are numbered within it, and both titles go
+    into the file name, shortened. The text ends in a line feed. Of sections with one file name the last of the document stays.
+    """
+    found = html_segments(pages, id=id, html=html, **tags).withColumn("h", heading(F.coalesce("chapter_title", F.lit(""))))
+    chapter, named = F.coalesce("h.number", F.lit(0)).cast("int"), lambda c: short_slug(slug_keep_hyphen(c))
+    name = section_filename(F.lit(book), F.lit(number), F.lit(book_title), chapter, named(F.coalesce("h.title", F.lit("No Title"))), F.col("section_number"), named(F.col("section_title")))
+    rows = found.select(F.col(id), name.alias("filename"), F.concat("content", F.lit("\n")).alias("text"), chapter.alias("chapter"), F.col("section_number").alias("section"), "chapter_number")
+    return last_wins(rows, [id, "filename"], ["chapter_number", "section"], ["text", "chapter", "section"])

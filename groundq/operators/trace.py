@@ -78,3 +78,21 @@ def joined_scores(pool: DataFrame) -> DataFrame:
     chosen = (F.upper("selected") == "Y") & F.col("score").isNotNull()
     each = F.array_sort(F.collect_list(F.when(chosen, F.struct("rank", fixed(F.col("score"), 6).alias("t")))))
     return pool.groupBy("qid").agg(F.array_join(F.transform(each, lambda x: x["t"]), " - ").alias("scores"))
+
+
+def appended(log: DataFrame, more: DataFrame) -> DataFrame:
+    """A trace log with more events; columns that either lacks are null there."""
+    return log.unionByName(more, allowMissingColumns=True)
+
+
+def merged_meta(rows: DataFrame) -> DataFrame:
+    """(qid, meta): what was set (qid, ord, meta: map) in order, later values of a key in place of earlier ones."""
+    each = rows.select("qid", "ord", F.explode("meta").alias("key", "value"))
+    return last_wins(each, ["qid", "key"], "ord", ["value"]).groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("meta"))
+
+
+def run_duration(events: DataFrame, key: str, ts: str, status: str = "completed") -> DataFrame:
+    """(key, duration_ms, ok): whole milliseconds from a run's first event to its last, and whether the last one's status is `status`."""
+    last = F.max_by("status", ts)
+    ms = F.floor((F.max(F.unix_micros(F.col(ts).cast("timestamp"))) - F.min(F.unix_micros(F.col(ts).cast("timestamp")))) / 1000)
+    return events.groupBy(key).agg(ms.cast("long").alias("duration_ms"), (last == status).alias("ok"))

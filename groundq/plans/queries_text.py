@@ -8,6 +8,7 @@ from groundq.functions import refs, text
 from groundq.functions.html import heading, one_line
 from groundq.operators.segment import header_segments as segment_headers
 from groundq.operators.segment import html_segments as segment_html
+from groundq.operators.segment import sections_from_html as sections_of_html
 from groundq.plans.views import SECTIONS, folded, matched, sections, table
 
 QUERIES, SQL = {}, {}
@@ -65,22 +66,6 @@ def parse_ref(spark, d):
     return _names(spark, d).select("doc_id", refs.ref_coordinates(ref).alias("c")).select("doc_id", "c.*")
 
 
-FIRST_LINE = "string_split(text, chr(10))[1]"
-
-
-@query(f"SELECT doc_id, md5(trim(regexp_replace({FIRST_LINE} || ' Source, Ch. 13, §5', '\\s+[A-Za-z][\\p{{L}}\\p{{N}}_\\s\\-]{{0,80}},\\s*(?:Ch\\.|Chapter)\\s*\\d+.*$', ''))) AS quote FROM documents")
-def strip_ref(spark, d):
-    line = F.concat(F.substring_index("text", "\n", 1), F.lit(" Source, Ch. 13, §5"))
-    return table(spark, d, "documents").select("doc_id", F.md5(refs.strip_ref(line)).alias("quote"))
-
-
-@query(f"SELECT doc_id, md5({FIRST_LINE}) AS quote FROM documents")
-def clean_quote(spark, d):
-    line = F.concat(F.lit('"'), F.substring_index("text", "\n", 1), F.lit('" corpus_ch_13_x_s05_y.txt, Ch. 13, §5'))
-    return table(spark, d, "documents").select("doc_id", F.md5(text.clean_quote(line)).alias("quote"))
-
-
-# strip_ref and clean_quote above take first lines, as their SQL does; the _whole queries take the whole texts.
 _LABEL = r"[A-Za-z][\p{L}\p{N}_\s\-]{0,80},\s*"
 _CHAPTER = r"(?:Ch\.|Chapter)\s*\d+.*$"
 
@@ -94,7 +79,7 @@ def _without(c: str, reference: str) -> str:
 
 
 @query("SELECT doc_id, md5(" + _without("text || ' Source, Ch. 13, §5'", _LABEL) + ") AS quote FROM documents")
-def strip_ref_whole(spark, d):
+def strip_ref(spark, d):
     whole = F.concat("text", F.lit(" Source, Ch. 13, §5"))
     return table(spark, d, "documents").select("doc_id", F.md5(refs.strip_ref(whole)).alias("quote"))
 
@@ -104,7 +89,7 @@ _CLEANED = _without(_without("""'"' || text || '" corpus_ch_13_x_s05_y.txt, Ch.
 
 @query(f"""WITH cleaned AS (SELECT doc_id, {_CLEANED} AS q FROM documents)
 SELECT doc_id, md5(CASE WHEN length(q) >= 2 AND q[1] IN ('"', '''') AND q[1] = q[-1] THEN {_stripped('q[2:-2]')} ELSE q END) AS quote FROM cleaned""")
-def clean_quote_whole(spark, d):
+def clean_quote(spark, d):
     whole = F.concat(F.lit('"'), "text", F.lit('" corpus_ch_13_x_s05_y.txt, Ch. 13, §5'))
     return table(spark, d, "documents").select("doc_id", F.md5(text.clean_quote(whole)).alias("quote"))
 
@@ -190,16 +175,9 @@ def marker_files(spark, d):
     return table(spark, d, "documents").select("doc_id", refs.marker_files(raw).alias("files"))
 
 
-@query(f"SELECT doc_id, md5('\"' || {FIRST_LINE} || '\"' || chr(10) || 'a.md' || chr(10) || chr(10) || '\"two\"' || chr(10) || 'Source, Ch. 8 — Y, §2 — Z') AS answer FROM documents")
-def reformat_answer(spark, d):
-    line = F.substring_index("text", "\n", 1)
-    raw = F.concat(F.lit('"'), line, F.lit('" 【1:0†x_ch_07_of_power.txt】\n"two" 【2:1†a.md】\nwords Source, Ch. 9, §1\nb_ch_08_y_s02_z.txt\n\nSOURCES (verified)\n- file'))
-    return table(spark, d, "documents").select("doc_id", F.md5(refs.reformat_answer(raw)).alias("answer"))
-
-
 @query()
-def reformat_answer_whole(spark, d):
-    """As reformat_answer, which takes first lines as its SQL does, over the whole texts; SQL has no fold over their lines."""
+def reformat_answer(spark, d):
+    """Whole texts as a model's free text. SQL has no fold over lines; a plain program is compared in the tests."""
     raw = F.concat(F.lit('"'), "text", F.lit('" 【1:0†x_ch_07_of_power.txt】\n"two" 【2:1†a.md】\nwords Source, Ch. 9, §1\nb_ch_08_y_s02_z.txt\n\nSOURCES (verified)\n- file'))
     return table(spark, d, "documents").select("doc_id", F.md5(refs.reformat_answer(raw)).alias("answer"))
 
@@ -213,12 +191,29 @@ def html_segments(spark, d):
 SELECT doc_id, 'A' AS chapter, 't' || ((i - 1) // 2) AS chapter_title, 's' || (i - 1) AS section_title, CAST(1 AS BIGINT) AS chapter_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_number, md5(trim(l[i])) AS content
 FROM books, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
 def header_segments(spark, d):
+    return _headers(spark, d, " ", strict=False)
+
+
+#: Headers without their space, which the strict form gives them.
+@query(SQL["header_segments"])
+def header_segments_strict(spark, d):
+    return _headers(spark, d, "", strict=True)
+
+
+@query()
+def sections_from_html(spark, d):
+    """Section files of pages as books; the numerals and names of chapters come from their headings."""
+    tags = {"container": "article", "container_class": None, "title": "h1", "section": "h2", "block": "p"}
+    return sections_of_html(table(spark, d, "pages"), id="page_id", html="html", book="pages", number=1, book_title="web", **tags)
+
+
+def _headers(spark, d, space, strict):
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     book = F.transform(
         lines,
         lambda x, i: F.concat(
-            F.when(i % 2 == 0, F.concat(F.lit("## t"), F.floor(i / 2).cast("string"), F.lit("\n"))).otherwise(F.lit("")), F.lit("### s"), i.cast("string"), F.lit("\n"), x
+            F.when(i % 2 == 0, F.concat(F.lit(f"##{space}t"), F.floor(i / 2).cast("string"), F.lit("\n"))).otherwise(F.lit("")), F.lit(f"###{space}s"), i.cast("string"), F.lit("\n"), x
         ),
     )
-    books = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# A\n"), F.array_join(book, "\n")).alias("book"))
-    return segment_headers(books, id="doc_id", text="book", strict=False).withColumn("content", F.md5("content"))
+    books = table(spark, d, "documents").select("doc_id", F.concat(F.lit(f"#{space}A\n"), F.array_join(book, "\n")).alias("book"))
+    return segment_headers(books, id="doc_id", text="book", strict=strict).withColumn("content", F.md5("content"))

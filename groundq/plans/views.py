@@ -1,8 +1,8 @@
 """The driver's tables as the engine's entities, once for Spark and once as SQL.
 
 sections: documents under a file name with chapter and section. pool: for every hundredth embedding (a question) the top chunks among all,
-each of a file (several chunks share one). trace and runs: events. A document's quotations: sentences of it, one turned backwards, one in
-capitals and one blank, in a fixed order.
+each of a file (several chunks share one). trace and runs: events. A document's quotations: all its pieces between full stops, one turned
+backwards, one in capitals and one blank, in a fixed order.
 """
 
 from __future__ import annotations
@@ -22,15 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of whole texts, dealt over all cores if it is so small that its scan would leave some idle."""
+    """A table of whole texts, dealt over all cores if its files have fewer row groups than there are: a scan cannot split one."""
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores) if _small(rows) else rows
-
-
-def _small(rows: DataFrame, most: int = 1 << 28) -> bool:
-    """By Catalyst's estimate: beyond it a scan has more splits than a repartition of its own is worth."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < most
+    if rows.rdd.getNumPartitions() > cores:
+        return rows
+    busy = rows.groupBy(F.spark_partition_id()).count().count()  # reads no column, and no more splits than cores
+    return rows if busy >= cores else rows.repartition(cores)
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +80,10 @@ pool AS (
 
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid (the document), ord, quote, filename."""
+    """qid (the document), ord, quote, filename: its first piece, that piece backwards, the last but one in capitals, a blank, and all others."""
     parts = F.col("parts")
-    quotes = F.array(
-        F.get(parts, F.lit(0)), F.reverse(F.get(parts, F.lit(0))), F.translate(F.get(parts, F.size(parts) - 2), SMALL, CAPITAL), F.lit(" "), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3))
-    )
+    odd = F.array(F.get(parts, F.lit(0)), F.reverse(F.get(parts, F.lit(0))), F.translate(F.get(parts, F.size(parts) - 2), SMALL, CAPITAL), F.lit(" "))
+    quotes = F.concat(odd, F.slice(parts, F.lit(2), F.size(parts)))
     each = sections(spark, sf_dir).withColumn("parts", F.split("text", r"\.")).select(F.col("doc_id").alias("qid"), "filename", "chapter", "section", F.posexplode(quotes).alias("at", "quote"))
     return each.select("qid", (F.col("at") + 1).alias("ord"), "quote", "filename", "chapter", "section").where("quote IS NOT NULL")
 
@@ -95,10 +92,11 @@ QUOTATIONS = (
     SECTIONS
     + """,
 quotations AS (
-  SELECT qid, CAST(ord AS INTEGER) AS ord, quotes[ord] AS quote, filename, chapter, section FROM (
-    SELECT doc_id AS qid, filename, chapter, section, [p[1], reverse(p[1]), translate(p[len(p) - 1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', p[2], p[3], p[4]] AS quotes
-    FROM (SELECT *, string_split(text, '.') AS p FROM sections)), range(1, 8) r(ord)
-  WHERE quotes[ord] IS NOT NULL)"""
+  SELECT * FROM (
+    SELECT qid, CAST(generate_subscripts(quotes, 1) AS INTEGER) AS ord, unnest(quotes) AS quote, filename, chapter, section FROM (
+      SELECT doc_id AS qid, filename, chapter, section, list_concat([p[1], reverse(p[1]), translate(p[len(p) - 1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' '], p[2:]) AS quotes
+      FROM (SELECT *, string_split(text, '.') AS p FROM sections)))
+  WHERE quote IS NOT NULL)"""
 )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundq.functions.text import line_feeds
@@ -84,12 +85,25 @@ def runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(configs, results) of every folder below path that holds config.json and results.jsonl, with run_dir relative to it."""
     def read(name: str, schema: str, **how) -> DataFrame:
         rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(path, **how)
-        return rows.select("*", _folder(F.col("_metadata.file_path")).alias("_dir"))
+        # within a file the rows of a split keep their order, and splits are told apart by where they begin
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        return rows.select("*", _folder(F.col("_metadata.file_path")).alias("_dir"), place.alias("_place"))
 
     configs, results = read("config.json", CONFIG, multiLine=True), read("results.jsonl", RESULT)
     base = F.regexp_extract(F.col("_dir"), r"([^/]+/?)$", 1) if path.rstrip("/").endswith("*") else F.regexp_replace(F.col("_dir"), rf"^.*?{_quoted(path)}/?", "")
     configs = configs.join(results.select("_dir").distinct(), "_dir", "left_semi").withColumn("run_dir", base).drop("_dir")
-    return configs, results.withColumn("run_dir", base).withColumn("row_ord", F.monotonically_increasing_id()).drop("_dir")
+    order = F.row_number().over(W.partitionBy("_dir").orderBy("_place")).cast("long")
+    return configs.drop("_place"), results.withColumn("run_dir", base).withColumn("row_ord", order).drop("_dir", "_place")
+
+
+def file_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, filename) of stored files, from JSON lines: what a list of file ids is looked up in."""
+    return spark.read.schema("file_id string, filename string").json(path).dropna(subset=["file_id"])
+
+
+def file_ids(spark: SparkSession, ids: list[str]) -> DataFrame:
+    """A given list of file ids as a table, in its order."""
+    return spark.createDataFrame(list(enumerate(ids)), "ord long, file_id string")
 
 
 def _quoted(path: str) -> str:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundq.functions.numbers import METRICS, display
-from groundq.functions.text import html_escape
+from groundq.functions.numbers import METRICS, display, report_link
+from groundq.functions.text import html_escape, safe_slug
 from groundq.operators.retrieve import last_wins
 from groundq.operators.runs import trend
 
@@ -24,7 +24,22 @@ def export_section_files(sections: DataFrame, path: str) -> None:
 
 def run_folder(timestamp, version, mode):
     """Column: the name of a run's folder."""
-    return F.concat_ws("__", timestamp, F.coalesce(version, F.lit("nogit")), mode)
+    return F.concat_ws("__", timestamp, safe_slug(F.coalesce(version, F.lit("nogit"))), safe_slug(mode))
+
+
+def run_path(root: str, corpus, suite, timestamp, version, mode):
+    """Column: the folder of a run below its corpus and suite."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), safe_slug(corpus), safe_slug(suite), run_folder(timestamp, version, mode))
+
+
+def create_store(chunks: DataFrame, path: str) -> None:
+    """A new store of chunks (file_id, filename, ...); a store that is already there is an error. It is complete once the job is."""
+    chunks.write.mode("errorifexists").parquet(path)
+
+
+def append_chunks(chunks: DataFrame, path: str) -> None:
+    """More chunks for a store."""
+    chunks.write.mode("append").parquet(path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -56,9 +71,19 @@ def trend_tables(rows: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return out.groupBy(key).agg(F.concat(F.lit(head), F.array_join(F.transform(each, lambda x: x["row"]), ""), F.lit("</table>")).alias("html"))
 
 
-def write_report(blocks: DataFrame, key: str, path: str, title: str) -> None:
-    """Blocks in order of the key, one after the other, as parts of one HTML document."""
-    page = F.concat(F.lit(f"<html><meta charset='utf-8'><title>{title}</title>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "html"))), lambda x: x["html"]), "\n"), F.lit("</html>"))
-    blocks.agg(page.alias("value")).write.mode("overwrite").text(path)
+def summary_block(means: DataFrame) -> DataFrame:
+    """(html): the runs' means as one table, in report order, with a link to each run's own report. As many rows as there are runs."""
+    names = [m for m in METRICS if f"m__{m}" in means.columns]
+    cells = [F.concat(F.lit("<td class='num'>"), html_escape(display(F.col(f"m__{m}"), METRICS[m][0])), F.lit("</td>")) for m in names]
+    row = F.concat(F.lit("<tr><td>"), html_escape(F.col("timestamp")), F.lit("</td><td class='link'>"), report_link(F.col("run_dir")), F.lit("</td>"), *cells, F.lit("</tr>"))
+    each = F.reverse(F.array_sort(F.collect_list(F.struct("timestamp", "run_dir", row.alias("row")))))
+    head = "<table><tr><th>timestamp</th><th>run</th>" + "".join(f"<th>{m}</th>" for m in names) + "</tr>"
+    return means.agg(F.concat(F.lit(head), F.array_join(F.transform(each, lambda x: x["row"]), ""), F.lit("</table>")).alias("html"))
 
 
+def write_report(blocks: DataFrame, key: str, path: str, title: str) -> None:
+    """Blocks in order of the key, as one HTML document in text parts whose names are in that order; no task holds them all."""
+    ends = [(0, f"<html><meta charset='utf-8'><title>{title}</title>"), (2, "</html>")]
+    whole = blocks.select(F.lit(1).alias("part"), F.col(key).cast("string").alias("key"), "html")
+    whole = whole.union(blocks.sparkSession.createDataFrame([(n, "", t) for n, t in ends], "part int, key string, html string"))
+    whole.orderBy("part", "key").select(F.col("html").alias("value")).write.mode("overwrite").text(path)

@@ -118,6 +118,8 @@ def test_islands_and_headers(spark):
         ("<div class='chapter'><h2>CHAPTER I.<br>A &amp; B</h2><p>x\n y<h3>S</h3><p>z</p></div>", [("CHAPTER I. A & B", "S", "z")]),
         ("<div class='chapter'><p>a<p>b</p><div><p>c</p></div></div><p>out</p>", [(None, "No Title", "b\n\nc")]),
         ("<div class='chapter'><h3></h3><p>a</div>", [(None, "No Title", "a")]),
+        ("<div class='chapter'><p>never closed</p>", []),
+        ("<div class='chapter'><p>replaced</p><div class='chapter'><p>a</p></div>", [(None, "No Title", "a")]),
         ("<div class='other'><p>a</p></div>", []),
         (None, []),
     ],
@@ -150,3 +152,81 @@ def test_registry(spark):
     assert [c.corpus_id for c in r.list()] == ["a"] and r.default().corpus_id == "a" and r.table(spark).count() == 1
     with pytest.raises(KeyError):
         r.get("b")
+
+
+def test_run_pipeline_and_evaluation(spark):
+    from groundq.operators.evaluation import COLUMNS, evaluate, for_corpora, results
+    from groundq.operators.pipeline import NO_POOL, NO_QUOTE, asked, run_pipeline
+
+    questions = spark.createDataFrame([(1, "Where is power?"), (2, "Nothing of it"), (3, "No pool")], "qid long, question string")
+    files = {"b_ch_01_x_s02_y.txt": "Power is here. Other things.", "b_ch_01_x_s03_y.txt": "Power of men.", "b_ch_09_x_s01_y.txt": "Power is not selected."}
+    pool = spark.createDataFrame([(q, r, f, 1.0 / r, t) for q in (1, 2) for r, (f, t) in enumerate(files.items(), 1)], "qid long, rank int, filename string, score double, passage string")
+    sections = spark.createDataFrame(list(files.items()), "filename string, text string")
+    run = run_pipeline(questions, pool, sections, k=2)
+    got = {r.qid: r for r in run.answers.collect()}
+    assert got[1].final_answer == "Power is here.\nSource, Ch. 1 — X, §2 — Y\n\nPower of men.\nSource, Ch. 1 — X, §3 — Y" and got[3].refused
+    assert got[2].final_answer == "Power of men.\nSource, Ch. 1 — X, §3 — Y"
+    view = {(r.qid, r.rank): (r.quote, r.section_text) for r in run.view.collect()}
+    assert view[1, 1] == ("Power is here.", None) and view[1, 3] == (None, "Power is not selected.") and view[2, 1] == ("", None)
+    summary = {r.qid: r for r in run.summary.collect()}
+    assert (summary[1].pool_files, summary[1].used_files, summary[1].coverage_ratio, summary[1].used_ranks, summary[3].note) == (3, 2, 0.5, "1:1.0000,2:0.5000", NO_POOL)
+    events = {q: [r.event for r in run.events.where(f"qid = {q}").orderBy("seq").collect()] for q in (1, 3)}
+    assert len(events[1]) == 7 and events[3][-1] == "audit_refused"
+    assert {r.qid: r.audit_reason for r in run.meta.collect()} == {1: None, 2: None, 3: NO_QUOTE}
+    tests = spark.createDataFrame([(1, "Where is power?", False, [(1, 2), (7, 7)], ["power"]), (2, "Nothing of it", True, [], ["Power of"]), (3, "No pool", True, [(1, 2)], [])], "qid long, question string, must_refuse boolean, expected array<struct<chapter:int,section:int>>, expected_quotes array<string>")
+    m = {r.qid: r.asDict() for r in evaluate(tests, run, sections).collect()}
+    assert list(m[1])[1:] == COLUMNS and len(COLUMNS) == 25
+    want = dict(refusal=False, refusal_ok=True, expected_quote_hit=False, audit_passed=True, pass_all=False, expected_total=2, expected_retrieved=1, retrieval_recall_at_20=0.5, retrieval_mean_rank=1.0, retrieval_mean_score=1.0, expected_selected=1, final_recall=0.5, final_unique_citations=2, extra_selected_count=1, extras_count_graded=1, expected_quotes_count_graded=1, quote_match_checked=2, quote_match_count=2, quote_match_rate=1.0, quote_match_all=True, quote_match_missing_source=0)
+    assert {k: m[1][k] for k in want} == want
+    # words: where is power / power of men, power is here: shared 1 of 5 and 2 of 4
+    assert (m[1]["extras_mean_relevance"], m[1]["expected_quotes_mean_relevance"], m[1]["answers_mean_relevance"], m[1]["answers_count_graded"]) == (1.0, 2.0, 1.5, 2)
+    assert m[2]["expected_total"] is None and not m[2]["refusal_ok"] and m[2]["expected_quote_hit"] and m[2]["extras_count_graded"] == 1
+    assert m[3]["refusal"] and m[3]["refusal_ok"] and not m[3]["audit_passed"] and not m[3]["pass_all"] and m[3]["expected_retrieved"] == 0 and m[3]["quote_match_rate"] is None
+    rows = results(tests, run, evaluate(tests, run, sections), version=None, suite_id="s", mode="short", corpus_id="c").collect()
+    assert {(r.id, r.pipeline_version, r.metrics.pass_all) for r in rows} == {(1, "no_git", False), (2, "no_git", False), (3, "no_git", False)}
+    assert for_corpora(tests, Registry(Corpus("a", "A", "s"), Corpus("b", "B", "s")).table(spark)).count() == 6
+    with pytest.raises(Exception, match="empty"):
+        asked(spark.createDataFrame([(1, " ")], "qid long, question string")).collect()
+
+
+def test_pool_rows_and_grades_of_a_model(spark):
+    from groundq.operators.retrieve import pool_rows
+
+    rows = spark.createDataFrame([(1, 1, "f", "b_ch_04_t.txt", 0.5, [" a ", "", "  ", "b", None]), (1, 2, "g", None, 0.4, None)], "qid long, rank int, file_id string, filename string, score double, content array<string>")
+    assert [(r.snippet, r.passage, r.chapter, r.section) for r in pool_rows(rows).orderBy("rank").collect()] == [("a b", "a b", 4, None), ("", "", None, None)]
+    asked, items = spark.createDataFrame([(1, "q"), (2, "r"), (3, "s")], "qid long, question string"), spark.createDataFrame([(1, "A", "x"), (2, "B", "y")], "qid long, ref string, quote string")
+    reply = lambda q, xs: '{"per_item": [{"ref": "' + xs[0]["ref"] + '", "score": 4}, {"ref": "z", "score": "bad"}, {"ref": "w", "score": 9}]}' if q == "q" else "none"
+    assert sorted((r.qid, r.ref, r.score) for r in quotes.grade_by_model(asked, items, reply).fillna(-1.0).collect()) == [(1, "A", 4.0), (1, "w", 9.0), (1, "z", -1.0)]
+
+
+def test_sections_of_an_html_book(spark):
+    page = "<div class='chapter'><h2>CHAPTER IV.<br>Of Power &amp; Men</h2><p>one</p><h3>First</h3><p>two</p><p>three</p><h3>No Title</h3></div><div class='chapter'><h3>First</h3><p>x</p></div><div class='chapter'><h3>First</h3><p>y</p></div>"
+    got = segment.sections_from_html(spark.createDataFrame([(1, page)], "id long, html string"), id="id", html="html", book="bk", number=2, book_title="state")
+    assert {r.filename: r.text for r in got.collect()} == {
+        "bk_book02_state_ch_04_of_power_men_s01_no_title.txt": "one\n", "bk_book02_state_ch_04_of_power_men_s02_first.txt": "two\n\nthree\n", "bk_book02_state_ch_00_no_title_s01_first.txt": "y\n",
+    }
+
+
+def test_logs_runs_and_messages(spark):
+    meta = spark.createDataFrame([(1, 1, {"a": "x", "b": "y"}), (1, 2, {"a": "z"})], "qid long, ord int, meta map<string,string>")
+    assert trace.merged_meta(meta).first().meta == {"a": "z", "b": "y"}
+    log = trace.appended(spark.createDataFrame([(1, "e")], "qid long, event string"), spark.createDataFrame([(1, "f", 3)], "qid long, event string, n int"))
+    assert sorted((r.event, r.n) for r in log.collect()) == [("e", None), ("f", 3)]
+    events = spark.createDataFrame([("r", "2024-01-01 00:00:00", "queued"), ("r", "2024-01-01 00:00:01.5", "completed"), ("s", "2024-01-01 00:00:00", "failed")], "run string, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r.run: (r.duration_ms, r.ok) for r in trace.run_duration(events, "run", "ts").collect()} == {"r": (1500, True), "s": (0, False)}
+    messages = spark.createDataFrame([(1, i) for i in range(30)], "qid long, position int")
+    assert assistant.newest(messages).agg(F.max("position"), F.count("*")).first()[:] == (19, 20)
+    both = runs.union_runs(spark.createDataFrame([("r1", 1.0)], "run_dir string, m__a double"), spark.createDataFrame([("r2", 2.0)], "run_dir string, m__b double"))
+    assert both.columns == ["run_dir", "m__a", "m__b"] and both.count() == 2
+
+
+def test_verbatim_search_of_all_lengths(spark):
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(n))
+    texts = {i: text(rng.randint(1, 40)) for i in range(60)}
+    items = {i: t for i in range(120) if (t := texts[rng.randrange(60)][(at := rng.randrange(20)) : at + rng.randint(1, 30)])}
+    a, b = spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(list(items.items()), "item long, want string")
+    got = {tuple(r) for r in quotes.verbatim_search(a, b, id="id", text="text", item="item", item_text="want").collect()}
+    assert got == {(i, j) for i, t in texts.items() for j, w in items.items() if w.strip() and w.strip() in t}

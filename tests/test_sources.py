@@ -60,4 +60,37 @@ def test_writers(spark, tmp_path):
     page = blocks.first().html
     assert "num neutral'>1,0" in page and "num good'>0,5" in page and page.index("r1") < page.index("r2")
     writers.write_report(blocks, "test_id", str(tmp_path / "report"), "Runs")
-    assert spark.read.text(str(tmp_path / "report"), wholetext=True).count() >= 1
+    parts = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert parts.startswith("<html>") and parts.rstrip().endswith("</html>") and parts.index("r1") < parts.index("r2")
+
+
+def test_stores_folders_and_summary(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    chunks = spark.createDataFrame([("f1", "a.txt")], "file_id string, filename string")
+    writers.create_store(chunks, str(tmp_path / "store"))
+    writers.append_chunks(chunks, str(tmp_path / "store"))
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    with pytest.raises(Exception, match="exists"):
+        writers.create_store(chunks, str(tmp_path / "store"))
+    (tmp_path / "files.jsonl").write_text('{"file_id":"f1","filename":"a.txt"}\n{"filename":"b"}\n')
+    assert [tuple(r) for r in readers.file_metadata(spark, str(tmp_path / "files.jsonl")).collect()] == [("f1", "a.txt")]
+    assert [tuple(r) for r in readers.file_ids(spark, ["x", "y"]).collect()] == [(0, "x"), (1, "y")]
+    row = spark.createDataFrame([("2024-01-01_00-00-00", None, "a b", "C", "s/1")], "t string, v string, m string, c string, s string")
+    assert row.select(writers.run_path("out/", F.col("c"), F.col("s"), F.col("t"), F.col("v"), F.col("m"))).first()[0] == "out/C/s_1/2024-01-01_00-00-00__nogit__a_b"
+    means = spark.createDataFrame([("1", "r<1", 0.5), ("2", "r2", None)], "timestamp string, run_dir string, m__final_recall double")
+    page = writers.summary_block(means).first().html
+    assert "50%" in page and 'href="r&lt;1/report.html"' in page and page.index("r2") < page.index("r&lt;1")
+
+
+def test_order_of_result_rows(spark, tmp_path):
+    folder = tmp_path / "c" / "r1"
+    folder.mkdir(parents=True)
+    (folder / "config.json").write_text('{"timestamp": "2024"}')
+    (folder / "results.jsonl").write_text("".join(json.dumps({"id": f"t{i}"}) + "\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        _, results = readers.runs(spark, str(tmp_path))
+        assert [r.id for r in results.orderBy("row_ord").collect()] == [f"t{i}" for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

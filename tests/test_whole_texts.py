@@ -55,9 +55,9 @@ def test_whole_texts_go_through(spark):
     assert sum("\n" in t for t in texts.values()) > len(texts) / 2
     tail = '" 【1:0†x_ch_07_of_power.txt】\n"two" 【2:1†a.md】\nwords Source, Ch. 9, §1\nb_ch_08_y_s02_z.txt\n\nSOURCES (verified)\n- file'
     wanted = {
-        "strip_ref_whole": lambda t: without(f"{t} Source, Ch. 13, §5", LABEL),
-        "clean_quote_whole": lambda t: cleaned(f'"{t}" corpus_ch_13_x_s05_y.txt, Ch. 13, §5'),
-        "reformat_answer_whole": lambda t: reformatted(f'"{t}{tail}'),
+        "strip_ref": lambda t: without(f"{t} Source, Ch. 13, §5", LABEL),
+        "clean_quote": lambda t: cleaned(f'"{t}" corpus_ch_13_x_s05_y.txt, Ch. 13, §5'),
+        "reformat_answer": lambda t: reformatted(f'"{t}{tail}'),
     }
     for name, rule in wanted.items():
         got = {row[0]: row[1] for row in catalogue.queries()[name](spark, SF).collect()}
