@@ -237,6 +237,7 @@ def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, wind
 
     def cut(batches):
         own = shared.value
+        encoder.cache_clear()  # this process may have encoded before; pieces need no vocabulary
         for batch in batches:
             out, keys = [], []
             for i in range(batch.num_rows):

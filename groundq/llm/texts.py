@@ -115,6 +115,7 @@ def text_blocks(column: pa.Array):
         end = min(max(int(np.searchsorted(sizes, before + BLOCK_BYTES)) + 1, start + 1), len(column))
         yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
         start = end
+    pa.default_memory_pool().release_unused()  # earlier batches' pages, which a long-lived worker would keep
 
 
 def bounded_texts(rows, most: int) -> list:

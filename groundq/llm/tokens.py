@@ -17,13 +17,13 @@ LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Texts longer than this are encoded part by part; a part ends before white space that follows something else.
 PART_CHARS = 1 << 19
 #: Pieces whose ids are remembered, at most.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 18
 
 _BORDER = re.compile(r"(?<=\S)[ \n\t\r]")
 
 
 def _growing(a: np.ndarray, need: int) -> np.ndarray:
-    return a if need <= len(a) else np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)])
+    return a if need <= len(a) else np.concatenate([a, np.zeros(max(need, len(a) + len(a) // 4) - len(a), a.dtype)])
 
 
 class Encoder:
@@ -112,7 +112,7 @@ class Encoder:
             self.recent.update(zip(distinct[rest].tolist(), found[rest].tolist(), strict=True))
         out = np.empty(len(order), "i4")
         out[order] = found[np.cumsum(new) - 1]
-        if len(self.recent) > 1 << 16:
+        if len(self.recent) > 1 << 15:
             names = np.concatenate([self.names, np.fromiter(self.recent.keys(), "u8", len(self.recent))])
             numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), "i4", len(self.recent))])
             order = np.argsort(names)
@@ -178,7 +178,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> Encoder:
     """The encoder of a vocabulary file's text, kept for the next task of this process."""
     return Encoder(vocabulary)
