@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from groundq.llm.components import roots
 from groundq.llm.streams import runs
+from groundq.llm.texts import give_back
 
 ROWS = "key long, lo int, hi int, part int, place int, rep long, mates binary"
 STARS = "rep long, links long, root long"
@@ -131,3 +132,4 @@ def stars(batches: Iterator[pa.RecordBatch], linked: Callable) -> Iterator[pa.Re
                 out.append((rep, links, rep[roots(len(touched), i, j)]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
+    give_back()

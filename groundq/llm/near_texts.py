@@ -14,7 +14,7 @@ from groundq.llm.candidates import ROWS, STARS, candidate_rows, chunked, gathere
 from groundq.llm.components import connected_components, named_by_least
 from groundq.llm.shared import dropped, joined, written
 from groundq.llm.streams import runs
-from groundq.llm.texts import BASE, Words, mixed, text_blocks
+from groundq.llm.texts import BASE, Words, give_back, mixed, text_blocks
 from groundq.shipping import ship
 
 #: MinHash tokens of a set; the paths choose among them.
@@ -187,6 +187,7 @@ def candidates_of(sets: DataFrame, jaccard: float, recall: float) -> DataFrame:
 
             if (out := candidate_rows(block, starts, "path", pairs_of, size * 8)) is not None:
                 yield out
+        give_back()
 
     out = written(tasks.mapInArrow(alike, ROWS), "text-candidates")
     dropped(ready)

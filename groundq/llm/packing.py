@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundq.llm.shared import dropped, written
-from groundq.llm.texts import text_blocks
+from groundq.llm.texts import give_back, text_blocks
 from groundq.llm.tokens import encoder
 from groundq.shipping import ship
 
@@ -238,6 +238,7 @@ def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, wind
     def cut(batches):
         own = shared.value
         encoder.cache_clear()  # this process may have encoded before; pieces need no vocabulary
+        give_back()
         for batch in batches:
             out, keys = [], []
             for i in range(batch.num_rows):
@@ -254,6 +255,7 @@ def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, wind
                     out, keys = [], []
             if out:
                 yield piece_batch(batch, keys, out)
+            give_back()
 
     def piece_batch(batch, keys, out):
         types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +18,28 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are joined up to so many bytes.
 BLOCK_BYTES = 1 << 19
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library than glibc
+    _trim = None
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
 _powers = {BASE: np.ones(1, "u8"), INVERSE: np.ones(1, "u8")}
+#: Powers of more places than this are forgotten once their block is done.
+POWERS_KEPT = 1 << 22
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that lives on for the next stage would otherwise hold beside the JVM."""
+    for base, table in _powers.items():
+        if len(table) > POWERS_KEPT:
+            _powers[base] = np.ones(1, "u8")
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -115,7 +133,7 @@ def text_blocks(column: pa.Array):
         end = min(max(int(np.searchsorted(sizes, before + BLOCK_BYTES)) + 1, start + 1), len(column))
         yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
         start = end
-    pa.default_memory_pool().release_unused()  # earlier batches' pages, which a long-lived worker would keep
+    give_back()
 
 
 def bounded_texts(rows, most: int) -> list:
