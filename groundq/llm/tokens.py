@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -16,8 +17,10 @@ from groundq.llm.texts import BASE, INVERSE, mixed, powers
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Texts longer than this are encoded part by part; a part ends before white space that follows something else.
 PART_CHARS = 1 << 19
-#: Pieces whose ids are remembered, at most.
+#: Pieces whose ids are remembered, about; when there are more, those stay that came again, up to half as many.
 REMEMBERED = 1 << 18
+#: Pieces that the library encodes at once: what it returns for each is far larger than its ids.
+AT_ONCE = 1 << 12
 
 _BORDER = re.compile(r"(?<=\S)[ \n\t\r]")
 
@@ -36,6 +39,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         spec = json.loads(vocabulary)
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
@@ -56,6 +60,32 @@ class Encoder:
         self.names, self.numbers, self.recent = np.zeros(0, "u8"), np.zeros(0, "i4"), {}
         self.count, self.used = 0, 0
         self.at, self.size, self.pool = np.zeros(1 << 12, "i8"), np.zeros(1 << 12, "i4"), np.zeros(1 << 14, "u4")
+        self.again = np.zeros(1 << 12, bool)  # pieces that were looked up since
+
+    def _sort_recent(self) -> None:
+        fresh = np.fromiter(self.recent.keys(), "u8", len(self.recent))
+        order = np.argsort(fresh)
+        names = np.concatenate([self.names, fresh[order]])
+        numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), "i4", len(self.recent))[order]])
+        order = np.argsort(names, kind="stable")  # merges the two sorted runs
+        self.names, self.numbers, self.recent = names[order], numbers[order], {}
+
+    def _thin(self) -> None:
+        """Forgets the pieces that did not come again since the last time, and of the others all but the oldest, up to half of REMEMBERED."""
+        self._sort_recent()
+        keep = np.flatnonzero(self.again[: self.count])[: REMEMBERED // 2]
+        size = self.size[keep]
+        place, total = np.cumsum(size) - size, int(size.sum())
+        if total > 4 * REMEMBERED:
+            return self._forget()
+        number = np.full(self.count, -1, "i4")
+        number[keep] = np.arange(len(keep))
+        numbers = number[self.numbers]
+        self.names, self.numbers = self.names[numbers >= 0], numbers[numbers >= 0]
+        self.pool = self.pool[np.repeat(self.at[keep] - place, size) + np.arange(total)]
+        self.at, self.size, self.again = place.astype("i8"), size, np.zeros(len(keep), bool)
+        self.count, self.used = len(keep), total
+        return None
 
     def _class(self, point: int) -> int:
         """Whether the pattern joins a code point to a letter, a number or a mark before it."""
@@ -90,8 +120,8 @@ class Encoder:
         own = kind[begin] != END
         return begin[own], end[own]
 
-    def _slots(self, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each piece its number among the remembered ones."""
+    def _slots(self, whole: str, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each piece its number among the remembered ones. whole: the texts, where a code point has the place that it has in code."""
         sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((code.astype("u8") + np.uint64(1)) * powers(BASE, len(code)))])
         names = mixed((sums[end] - sums[begin]) * powers(INVERSE, len(code) + 1)[begin] + (end - begin).astype("u8"))
         order = np.argsort(names)
@@ -107,41 +137,40 @@ class Encoder:
         if len(rest):
             found[rest] = [self.recent.get(h, -1) for h in distinct[rest].tolist()]
             rest = rest[found[rest] < 0]
+        self.again[found[found >= 0]] = True
         if len(rest):
-            found[rest] = self._learn([code[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin[first[rest]].tolist(), end[first[rest]].tolist(), strict=True)])
+            found[rest] = self._learn([whole[a:b] for a, b in zip(begin[first[rest]].tolist(), end[first[rest]].tolist(), strict=True)])
             self.recent.update(zip(distinct[rest].tolist(), found[rest].tolist(), strict=True))
         out = np.empty(len(order), "i4")
         out[order] = found[np.cumsum(new) - 1]
         if len(self.recent) > 1 << 15:
-            names = np.concatenate([self.names, np.fromiter(self.recent.keys(), "u8", len(self.recent))])
-            numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), "i4", len(self.recent))])
-            order = np.argsort(names)
-            self.names, self.numbers, self.recent = names[order], numbers[order], {}
+            self._sort_recent()
         return out
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """The numbers of pieces that are encoded for the first time."""
-        each = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, each), "i4", len(each))
-        total, numbers = int(sizes.sum()), np.arange(self.count, self.count + len(each))
-        self.at, self.size = _growing(self.at, self.count + len(each)), _growing(self.size, self.count + len(each))
-        self.pool = _growing(self.pool, self.used + total)
-        self.at[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(each), "u4", total)
-        self.count, self.used = self.count + len(each), self.used + total
+        numbers = np.arange(self.count, self.count + len(pieces))
+        for lo in range(0, len(pieces), AT_ONCE):
+            each = [e.ids for e in self.library.encode_batch_fast(pieces[lo : lo + AT_ONCE], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, each), "i4", len(each))
+            total, stop = int(sizes.sum()), self.count + len(each)
+            self.at, self.size, self.again = _growing(self.at, stop), _growing(self.size, stop), _growing(self.again, stop)
+            self.pool = _growing(self.pool, self.used + total)
+            self.at[self.count : stop], self.size[self.count : stop] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(each), "u4", total)
+            self.count, self.used = stop, self.used + total
         return numbers
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         if self.count > REMEMBERED or self.used > 8 * REMEMBERED:
-            self._forget()
-        parts = []
-        for text in texts:
-            parts += [np.frombuffer(text.encode("utf-32-le"), "u4"), np.array([0x110000], "u4")]
-        code = np.concatenate(parts)
+            self._thin()
+        whole = "\n".join([*texts, ""])
+        code = np.frombuffer(whole.encode("utf-32-le"), "u4").copy()
+        code[np.cumsum([len(t) + 1 for t in texts]) - 1] = 0x110000
         begin, end = self._pieces(code)
         if not len(begin):
             return [np.zeros(0, "u4") for _ in texts]
-        slot = self._slots(code, begin, end)
+        slot = self._slots(whole, code, begin, end)
         size = self.size[slot]
         place = np.cumsum(size) - size
         total = int(size.sum())

@@ -49,6 +49,19 @@ def test_remembered_pieces_can_be_forgotten(library, own, monkeypatch):
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_that_come_again_are_kept(library, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 64)
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    own, rng = tokens.Encoder(open(PATH, encoding="utf-8").read()), random.Random(4)
+    learn, learned = own._learn, []
+    monkeypatch.setattr(own, "_learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    for _ in range(300):
+        texts = [" ".join([*(f"common{i}" for i in range(10)), *(f"w{rng.randrange(10**6)}" for _ in range(12))])]
+        assert own.encode(texts)[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+        assert own.count < 64 + 100 and len(own.names) + len(own.recent) == own.count
+    assert learned.count(" common5") < 10
+
+
 def test_least_squares():
     rng = np.random.default_rng(5)
     for lengths in (rng.integers(1, 64, 3000), np.full(500, 40), np.array([63]), rng.integers(30, 40, 700)):
