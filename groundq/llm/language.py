@@ -198,19 +198,23 @@ def train(labelled: DataFrame, texts: DataFrame, *, id: str, text: str, label: s
     # at most 2^BITS sums reach the driver, whatever the texts
     sums = texts.select(F.col(text).alias("text")).mapInArrow(frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
     feature, df = sums.column("feature").to_numpy(), sums.column("df").to_numpy()
-    counts, n = np.zeros(1 << BITS), float(df[feature == -1].sum())
-    counts[feature[feature >= 0]] = df[feature >= 0]
-    idf = np.log((1 + n) / (1 + counts)) + 1
+    having, n = np.zeros(1 << BITS), float(df[feature == -1].sum())
+    having[feature[feature >= 0]] = df[feature >= 0]
+    idf = np.log((1 + n) / (1 + having)) + 1
 
     known = labelled.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
     # the bound holds before the texts are looked up: only the chosen ids' texts move
     named = known.groupBy("id").agg(F.min("label").alias("label"))
-    share = quotas({r.label: r["count"] for r in named.groupBy("label").count().collect()}, rows)  # as many as there are languages
+    counts = {r.label: r["count"] for r in named.groupBy("label").count().collect()}  # as many as there are languages
+    share = quotas(counts, rows)
     if not share:
         return None
+    # hashes are even, so the smallest ones of a language lie below a bound that a few more do: only those, about `rows`, are ranked
+    near = {c: min(1.0, (q + 8 * math.sqrt(q) + 32) / counts[c]) for c, q in share.items()}
+    most, bound = (F.create_map(*(F.lit(x) for pair in of.items() for x in pair)) for of in (share, near))
+    low = named.where(F.xxhash64("id") / float(1 << 64) + 0.5 <= F.coalesce(F.try_element_at(bound, "label"), F.lit(-1.0)))
     place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    most = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
-    chosen = named.withColumn("place", place).where(F.col("place") <= max(share.values())).where(F.col("place") <= F.coalesce(F.try_element_at(most, "label"), F.lit(0))).select("id")
+    chosen = low.withColumn("place", place).where(F.col("place") <= F.try_element_at(most, "label")).select("id")
     found = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     found = bounded_texts(found, text_bytes)
     return fit([r.text for r in found], [r.label for r in found], idf)

@@ -29,7 +29,7 @@ _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
 _powers = {BASE: np.ones(1, "u8"), INVERSE: np.ones(1, "u8")}
 #: Powers of more places than this are forgotten once their block is done.
-POWERS_KEPT = 1 << 22
+POWERS_KEPT = 1 << 20
 
 
 def give_back() -> None:

@@ -32,6 +32,20 @@ def test_regression_on_its_own():
     assert all((f[slice(*e[0])] == g[slice(*d[1])]).all() for (f, e), (g, d) in zip(alone, together, strict=True))
 
 
+def test_the_smallest_hashes_of_each_language_are_taken(spark, monkeypatch):
+    from groundq.llm import language
+
+    rows = spark.range(3000).selectExpr("id", "concat('text ', id) AS text", "CASE WHEN id % 300 = 0 THEN 'rare' WHEN id % 3 = 0 THEN 'b' ELSE 'a' END AS label")
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda texts, labels, idf: taken.extend(zip(texts, labels, strict=True)))
+    train(rows, rows, id="id", text="text", label="label", rows=200)
+    quota = quotas({"a": 2000, "b": 990, "rare": 10}, 200)
+    expected = []
+    for label, n in quota.items():
+        expected += [(r.text, label) for r in rows.where(F.col("label") == label).orderBy(F.xxhash64("id")).limit(n).collect()]
+    assert sorted(taken) == sorted(expected)
+
+
 def test_odd_rows(spark):
     rows = [(None, None, "en", "x"), (1, "", "en", "x"), (2, "12 !", None, "x"), (3, "the word " * 30_000, "en", "x"), (3, "the word", "en", "x"), (4, "das wort", "de", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
