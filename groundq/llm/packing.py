@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundq.llm.shared import dropped, written
+from groundq.llm.shared import written
 from groundq.llm.texts import give_back, text_blocks
 from groundq.llm.tokens import encoder
 from groundq.shipping import ship
@@ -22,6 +22,8 @@ from groundq.shipping import ship
 TRIPLE_LENGTHS = 48
 #: Whole windows are numbered from here on, by the task that read them; planned sequences from 0.
 WINDOWS = 1 << 40
+#: Rows (task, length) of the table of ranks that may be broadcast, at most: some 20 MB.
+RANKS = 1 << 19
 
 
 def combinations(counts: np.ndarray, window: int) -> np.ndarray:
@@ -216,8 +218,8 @@ def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, wind
     cutting where nothing fits. The very last sequences of the table have lengths that are powers of two.
 
     A remainder finds its place in the plan by its length and its rank among those of that length. Ranks are numbers within the task that
-    encoded it, plus what earlier tasks have of that length: a small table (task, length) which Spark broadcasts or, where it is large,
-    joins by a shuffle. Ids are written once to the shared folder; nothing else is shuffled, whatever the number of tasks.
+    encoded it, plus what earlier tasks have of that length: a small table (task, length) which is broadcast up to RANKS rows and, where it is larger,
+    joined by a shuffle. Ids are written once to the shared folder; nothing else is shuffled, whatever the number of tasks.
 
     Rows that repeat are packed as often as they come; null ids are kept. Other columns are dropped, so clashing names do no harm. An
     empty table gives an empty result. Memory is bounded by a block of texts or one document. Result: id, start, length, ids (little-endian
@@ -225,15 +227,16 @@ def pack_documents(docs: DataFrame, *, id: str, text: str, vocabulary: str, wind
     """
     ship(docs.sparkSession)
     encoded = written(_encoded(docs, id, text, vocabulary, window, end), "token-ids")
-    counted = written(encoded.where("tail > 0").groupBy("part", "tail").agg(F.count("*").alias("n")), "tail-counts")
     counts = np.zeros(window, "i8")
-    for r in counted.groupBy("tail").agg(F.sum("n").alias("n")).collect():
+    tails = encoded.where("tail > 0").select("part", "tail")  # two small columns of what was written
+    for r in tails.groupBy("tail").agg(F.count("*").alias("n")).collect():
         counts[r.tail] = r.n
     planned = plan(counts, window)
     shared = docs.sparkSession.sparkContext.broadcast(planned)  # bounded by the number of lengths, not by that of documents
     earlier = F.sum("n").over(W.partitionBy("tail").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = written(counted.select("part", "tail", F.coalesce(earlier, F.lit(0)).alias("before")), "tail-ranks")
-    dropped(counted)
+    offsets = tails.groupBy("part", "tail").agg(F.count("*").alias("n")).select("part", "tail", F.coalesce(earlier, F.lit(0)).alias("before"))
+    if np.count_nonzero(counts) * tails.agg(F.countDistinct("part")).first()[0] <= RANKS:
+        offsets = F.broadcast(offsets)
 
     def cut(batches):
         own = shared.value
