@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,9 @@ from groundq.functions.refs import readable_ref
 from groundq.functions.text import for_match, json_object, strip
 from groundq.operators.retrieve import last_wins
 
+#: Bytes of items that a search broadcasts, at most.
+HELD_BYTES = 1 << 24
+
 
 def sentences(text: Column) -> Column:
     """Sentences of a passage, each verbatim."""
@@ -94,34 +98,45 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     return out.toDF("qid", "ord", "quote", "filename").where(F.col("quote").isNotNull() & F.col("filename").isNotNull())
 
 
-def verbatim_search(texts: DataFrame, items: DataFrame, *, id: str, text: str, item: str, item_text: str, width: int = 5) -> DataFrame:
+def verbatim_search(texts: DataFrame, items: DataFrame, *, id: str, text: str, item: str, item_text: str, width: int = 5, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(id, item): items whose normalised text stands somewhere in a normalised text.
 
     The words of an item but for its first and last one, which the text may continue, are whole words of the text. Up to `width` of them in a row are the
-    key of an equi-join with all runs of so many words of the texts (one pass for each number that the items ask for). Items of one or two words have no such words:
-    their characters are the key, and meet the texts' runs of as many characters; those lengths are read off the items first. Only keys travel: a
-    text joins once for all items that it met, and containment decides. An id that repeats stands for all its texts.
+    key of an equi-join with all runs of so many words of the texts. Items of one or two words have no such words: their first `width` characters are
+    the key, and meet the texts' runs of as many characters. A text is split once and its runs are read off the split by their place, so that the work grows
+    with its length and not with the square of it. Items of up to `held_bytes` are broadcast, and each place that meets a key is compared there, over the item's
+    length. Of more items only keys travel: a text joins once for all items that it met, and containment decides. An id that repeats stands for all its texts.
     """
     wanted = items.select(F.col(item).alias("_item"), for_match(F.col(item_text)).alias("_want")).where("_want <> ''").withColumn("_w", F.split("_want", " "))
     inner = F.least(F.size("_w") - 2, F.lit(width))
-    words = lambda n: F.xxhash64(F.array_join(F.slice("_w", 2, n), " "))
-    keyed = wanted.select("_item", "_want", F.when(inner > 0, inner).otherwise(-F.char_length("_want")).alias("_n"), F.when(inner > 0, words(F.greatest(inner, F.lit(1)))).otherwise(F.xxhash64("_want")).alias("_key"))
-    sizes = sorted(r[0] for r in keyed.select("_n").distinct().collect())  # at most `width`, and the lengths of items of two words
+    wanted = wanted.withColumns({
+        "_n": F.when(inner > 0, inner).otherwise(-F.least(F.char_length("_want"), F.lit(width))),
+        "_parts": F.when(inner > 0, F.size("_w")).otherwise(F.char_length("_want")),
+        "_w": F.when(inner > 0, F.slice("_w", 2, width)).otherwise(F.split("_want", "")),
+    })
+    run = (F.when(F.abs("_n") > k, F.get("_w", F.lit(k))) for k in range(width))  # a hash passes over nulls
+    keyed = wanted.select("_item", "_want", "_parts", F.xxhash64("_n", *run).alias("_key"))
+    asked = wanted.agg(F.collect_set("_n").alias("sizes"), F.coalesce(F.sum(F.octet_length("_want") + 64), F.lit(0)).alias("bytes")).first()
+    broadcast = asked.bytes <= held_bytes
     held = texts.select(F.col(id).alias("_id"), for_match(F.col(text)).alias("_text"))
-    none = F.array().cast("array<bigint>")
-
-    def keys(n: int) -> Column:
-        """Hashes of the text's runs of n words, or of -n characters."""
-        if n > 0:
-            split = F.split("_text", " ")
-            every = F.transform(F.sequence(F.lit(1), F.size(split) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(split, i, F.lit(n)), " ")))
-            return F.when(F.size(split) >= n, every).otherwise(none)
-        every = F.transform(F.sequence(F.lit(1), F.char_length("_text") + n + 1), lambda i: F.xxhash64(F.substring(F.col("_text"), i, F.lit(-n))))
-        return F.when(F.char_length("_text") >= -n, every).otherwise(none)
-
-    runs = held.select("_id", F.inline(F.array(*(F.struct(F.lit(n).alias("_n"), F.array_distinct(keys(n)).alias("_keys")) for n in sizes)) if sizes else F.array().cast("array<struct<_n:int,_keys:array<bigint>>>")))
-    met = runs.select("_id", "_n", F.explode("_keys").alias("_key")).join(keyed, ["_n", "_key"]).select("_id", "_item", "_want").distinct()
-    found = held.join(met, "_id").where(F.col("_text").contains(F.col("_want")))
+
+    def met(sizes: list[int], by: str, edge: int) -> DataFrame:
+        """Runs of so many parts of a text with `edge` parts on either side: (_id, _item) of the items that stand there, or each (_id, _key) of a text."""
+        places = F.when(F.size("_w") >= min(sizes) + 2 * edge, F.sequence(F.lit(edge), F.size("_w") - min(sizes) - edge))
+        keys = lambda at: F.array(*(F.xxhash64(F.lit(n if edge else -n), *(F.get("_w", at + k) for k in range(n))) for n in sizes))
+        split = held.select("_id", F.split("_text", by).alias("_w"))
+        if not broadcast:
+            return split.select("_id", F.explode(F.array_distinct(F.flatten(F.transform(places, keys)))).alias("_key"))
+        runs = split.select("_id", "_w", F.explode(places).alias("_at")).select("_id", "_w", "_at", F.explode(keys(F.col("_at"))).alias("_key"))
+        there = F.array_join(F.slice("_w", F.col("_at") + (1 - edge), F.col("_parts")), by)
+        return runs.join(F.broadcast(keyed), "_key").where(there.contains(F.col("_want"))).select("_id", "_item")
+
+    words, characters = (sorted(sign * n for n in asked.sizes if sign * n > 0) for sign in (1, -1))
+    kinds = [(sizes, by, edge) for sizes, by, edge in ((words, " ", 1), (characters, "", 0)) if sizes]
+    found = reduce(DataFrame.union, (met(*kind) for kind in kinds or [([1], " ", 1)]))
+    if not broadcast:
+        pairs = found.join(keyed, "_key").select(F.col("_id").alias("_met"), "_item", "_want").distinct()
+        found = held.join(pairs, F.col("_id").eqNullSafe(F.col("_met"))).where(F.col("_text").contains(F.col("_want")))
     return found.select(F.col("_id").alias(id), F.col("_item").alias(item)).distinct()
 
 

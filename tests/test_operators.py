@@ -230,3 +230,34 @@ def test_verbatim_search_of_all_lengths(spark):
     a, b = spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(list(items.items()), "item long, want string")
     got = {tuple(r) for r in quotes.verbatim_search(a, b, id="id", text="text", item="item", item_text="want").collect()}
     assert got == {(i, j) for i, t in texts.items() for j, w in items.items() if w.strip() and w.strip() in t}
+
+
+@pytest.mark.parametrize("held_bytes", [0, 1 << 24])
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_verbatim_search_of_few_and_of_many_items(spark, held_bytes, width):
+    import random
+
+    rng = random.Random(width)
+    text = lambda n: " ".join("".join(rng.choice("aé\U0001f600") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    texts = {i: text(rng.randint(1, 30)) for i in range(50)} | {None: "a b c d e f g h", 50: "", 51: None, 52: "a b c " * 40}
+    items = {i: t for i in range(90) if (t := texts[rng.randrange(50)][(at := rng.randrange(30)) : at + rng.randint(1, 60)])}
+    items |= {90: "b c d e f g", 91: "h", 92: "c a", 93: " ", 94: None, 95: "c a b c a b c a b c a b", 96: "f g h i", 97: texts[1], 98: "x" * 99}
+    a, b = spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(list(items.items()), "item long, want string")
+    got = quotes.verbatim_search(a, b, id="id", text="text", item="item", item_text="want", width=width, held_bytes=held_bytes)
+    fold = lambda s: " ".join((s or "").split())
+    want = [(i, j) for i, t in texts.items() for j, w in items.items() if fold(w) and fold(w) in fold(t)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and (None, 90) in want
+    assert quotes.verbatim_search(a, b.limit(0), id="id", text="text", item="item", item_text="want", held_bytes=held_bytes).count() == 0
+
+
+@pytest.mark.parametrize("held_bytes", [0, 1 << 24])
+def test_verbatim_search_reads_a_long_text_once(spark, held_bytes):
+    import time
+
+    words = [f"w{i}" for i in range(30_000)]
+    a = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
+    b = spark.createDataFrame([(1, " ".join(words[29_000:29_020])), (2, "w29999"), (3, "w1 w3"), (4, "999 w30")], "item long, want string")
+    for some, want in ((b.where("item = 1"), {1}), (b.where("item > 1"), {2, 4})):
+        began = time.time()
+        assert {r.item for r in quotes.verbatim_search(a, some, id="id", text="text", item="item", item_text="want", held_bytes=held_bytes).collect()} == want
+        assert time.time() - began < 20  # a split for each word took minutes
